@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import knn
+from quire.functions.ids import page_evidence_id
+from quire.operators import cards, context, expand, graphs, knn, pagerank
+from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
+from quire.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,19 +34,170 @@ def vector_topk(t: Tables) -> DataFrame:
     return hits.join(labels, "id").select("qid", "id", "label", "score", "rank")
 
 
-def _search(t: Tables, cards: DataFrame, k: int) -> DataFrame:
-    items = cards.select(F.col("evidence_id").alias("id"), "vector")
+def _search(t: Tables, vectors: DataFrame, k: int) -> DataFrame:
+    items = vectors.select(F.col("evidence_id").alias("id"), "vector")
     return knn.topk(og.og_questions(t), items, k).withColumnRenamed("id", "evidence_id")
 
 
 @query
 def vector_topk_filtered(t: Tables) -> DataFrame:
-    cards = og.og_card_vectors(t).filter(
+    vectors = og.og_card_vectors(t).filter(
         F.col("evidence_type").isin("entity", "relation") & F.col("doc_id").isin("ASIA", "EUROPE")
     )
-    return _search(t, cards, 10)
+    return _search(t, vectors, 10)
 
 
 @query
 def anchor_pages(t: Tables) -> DataFrame:
     return _search(t, og.og_card_vectors(t).filter("evidence_type = 'page'"), 30)
+
+
+# ---- cards -------------------------------------------------------------------------
+
+
+@query
+def page_cards(t: Tables) -> DataFrame:
+    return cards.page_cards(og.og_pages(t)).select("evidence_id", "doc_id", "text_payload", "image_payload")
+
+
+@query
+def entity_cards(t: Tables) -> DataFrame:
+    return cards.entity_cards(og.og_nodes(t)).select("evidence_id", "doc_id", "text_payload")
+
+
+@query
+def relation_cards(t: Tables) -> DataFrame:
+    return cards.relation_cards(og.og_edges(t), og.og_nodes(t)).select("evidence_id", "doc_id", "text_payload")
+
+
+# ---- retrieval ---------------------------------------------------------------------
+
+RECIPE = {"rounds": 2, "beam": 50, "weight": 0.7}
+WALK = {"max_depth": 3, "max_nodes": 1000, "max_iter": 8, "tol": 0.0, "final_k": 50}
+
+
+def _page_vectors(t: Tables, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ids = og.og_pages(t).select("doc_id", "page_id", page_evidence_id(F.col("doc_id"), F.col("page_id")).alias("id"))
+    return ids, vectors.filter("evidence_type = 'page'").select(F.col("evidence_id").alias("id"), "vector")
+
+
+def _anchors(t: Tables, vectors: DataFrame, questions: DataFrame) -> DataFrame:
+    ids, items = _page_vectors(t, vectors)
+    return knn.topk(questions, items, 30).join(ids, "id").select("qid", "doc_id", "page_id", "score")
+
+
+def _expanded(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    vectors = materialize(og.og_card_vectors(t), "card-vectors")
+    questions = materialize(og.og_questions(t), "questions")
+    anchors = _anchors(t, vectors, questions)
+    bridges = vectors.filter("evidence_type <> 'page'").select("evidence_id", "vector")
+    hits, scores = expand.expand(anchors, questions, og.og_incidence(t), bridges, og.og_pages(t), **RECIPE)
+    return hits, scores, vectors, questions
+
+
+@query
+def expanded_pages(t: Tables) -> DataFrame:
+    hits, *_ = _expanded(t)
+    return hits.select("qid", "doc_id", "page_id", "score", "rank", "page_image_path")
+
+
+@query
+def expanded_bridge_scores(t: Tables) -> DataFrame:
+    _, scores, *_ = _expanded(t)
+    return scores.select("qid", "evidence_id", "score")
+
+
+@query
+def text_items(t: Tables) -> DataFrame:
+    return _items(t).select("qid", "type", "text", "source_id", "score", "seq")
+
+
+def _items(t: Tables) -> DataFrame:
+    hits, scores, vectors, questions = _expanded(t)
+    nodes = og.og_nodes(t)
+    deck = cards.entity_cards(nodes).unionByName(cards.relation_cards(og.og_edges(t), nodes))
+    return context.text_items(
+        hits, og.og_pages(t), og.og_incidence(t), deck, vectors.select("evidence_id", "vector"), scores, questions
+    )
+
+
+@query
+def evidence_within_budget(t: Tables) -> DataFrame:
+    kept = context.within_budget(_items(t), 2000)
+    return context.format_evidence(kept)
+
+
+@query
+def reranked_pages(t: Tables) -> DataFrame:
+    """The page's price decides the rerank score, a stand-in for a scoring model."""
+    hits, *_ = _expanded(t)
+    hits = materialize(hits, "hits")
+    price = t.orders.select(F.col("o_orderkey").alias("page_id"), "o_totalprice")
+    scores = hits.join(price, "page_id").select(
+        "qid", "doc_id", "page_id", (F.pmod(F.col("o_totalprice") * 100 + F.col("qid") * 977, F.lit(1000)) / 1000).alias("rerank_score")
+    )
+    scores = scores.withColumn("rerank_score", F.round("rerank_score", 3))
+    return context.rerank(hits, scores).select("qid", "doc_id", "page_id", "rank")
+
+
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Relations of the order graph plus part-to-part same_as links."""
+    nodes = og.og_nodes(t)
+    return nodes, og.og_edges(t).drop("vec_key").unionByName(og.og_same_as(t))
+
+
+@query
+def retrieval_graph_nodes(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    g = rg.graph_nodes(og.og_pages(t), nodes, edges)
+    return g.select(
+        "external_id", "node_type", "doc_id", F.array_join(F.col("page_ids").cast("array<string>"), ",").alias("pages"),
+        F.col("metadata")["head_name"].alias("head_name"), F.col("metadata")["name"].alias("name"),
+    )
+
+
+@query
+def retrieval_graph_edges(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    return rg.graph_edges(og.og_pages(t), nodes, edges)
+
+
+@query
+def retrieval_graph_stats(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    pages = og.og_pages(t)
+    return rg.graph_stats((rg.graph_nodes(pages, nodes, edges), rg.graph_edges(pages, nodes, edges)), edges, nodes)
+
+
+@query
+def graph_reads(t: Tables) -> DataFrame:
+    """Degree, pages, and per-page entity and relation counts of every node."""
+    nodes, edges = _graph(t)
+    links = materialize(rg.graph_edges(og.og_pages(t), nodes, edges), "rg-edges")
+    deg = rg.degree(links)
+    ents = rg.on_page(links, "entity").groupBy(F.col("page").alias("external_id")).agg(F.count("*").alias("n_entities"))
+    rels = rg.on_page(links, "relation").groupBy(F.col("page").alias("external_id")).agg(F.count("*").alias("n_relations"))
+    src = rg.source_pages(links).groupBy("external_id").agg(F.count("*").alias("n_pages"), F.min("page").alias("first_page"))
+    return deg.join(ents, "external_id", "left").join(rels, "external_id", "left").join(src, "external_id", "left")
+
+
+def _walk_inputs(t: Tables):
+    vectors = materialize(og.og_card_vectors(t).filter("evidence_type = 'page'"), "page-vectors")
+    questions = og.og_questions(t)
+    anchors = materialize(_anchors(t, vectors, questions), "anchors")
+    links = materialize(rg.graph_edges(og.og_pages(t), *_graph(t)), "rg-edges")
+    return anchors, links
+
+
+@query
+def bounded_neighbourhood(t: Tables) -> DataFrame:
+    anchors, links = _walk_inputs(t)
+    seeds = anchors.select("qid", page_evidence_id(F.col("doc_id"), F.col("page_id")).alias("node"))
+    return graphs.bounded_bfs(seeds, links, max_depth=WALK["max_depth"], max_nodes=WALK["max_nodes"])
+
+
+@query
+def pagerank_pages(t: Tables) -> DataFrame:
+    anchors, links = _walk_inputs(t)
+    hits, _ = pagerank.propagate(anchors, links, og.og_pages(t), **WALK)
+    return hits.select("qid", "doc_id", "page_id", "score", "rank")

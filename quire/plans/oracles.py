@@ -54,6 +54,18 @@ VIEWS: dict[str, str] = {
                list_sort(list(DISTINCT page_id)) AS source_pages, min(page_id * 7 + l_partkey) AS vec_key,
                'semantic' AS edge_type, 'Line item that ' || relation || '.' AS description
         FROM og_mentions GROUP BY edge_id, doc_id, src_id, tgt_id, relation""",
+    "og_same_as": f"""
+        SELECT {_uuid('A:', "'ALIGN::' || src_id || '::' || tgt_id || '::same_as'")} AS edge_id, doc_id, src_id, tgt_id,
+               'same_as' AS relation, max(confidence) AS confidence, list_sort(list(DISTINCT page_id)) AS source_pages,
+               'same_as' AS edge_type, '' AS description
+        FROM (SELECT m.tgt_id AS src_id, {_entity('doc_id', "(n.p_name || ' ' || n.p_partkey)")} AS tgt_id,
+                     CASE WHEN l_linestatus = 'F' THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence, doc_id, page_id
+              FROM og_mentions m JOIN part n ON n.p_partkey = (l_partkey + 1) % (SELECT count(*) FROM part)
+              WHERE l_discount >= 0.095 AND l_tax >= 0.065)
+        GROUP BY doc_id, src_id, tgt_id""",
+    "og_all_edges": """
+        SELECT edge_id, doc_id, src_id, tgt_id, relation, confidence, source_pages, edge_type, description FROM og_edges
+        UNION ALL SELECT edge_id, doc_id, src_id, tgt_id, relation, confidence, source_pages, edge_type, description FROM og_same_as""",
     "og_incidence": """
         SELECT DISTINCT 'entity:' || src_id AS evidence_id, 'entity' AS evidence_type, doc_id, page_id FROM og_mentions
         UNION SELECT 'entity:' || tgt_id, 'entity', doc_id, page_id FROM og_mentions
@@ -133,3 +145,256 @@ SELECT qid, id, label, score, CAST(rank AS INTEGER) AS rank FROM (
            round(list_dot_product(q.vector, e.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS score
     FROM og_questions_n q CROSS JOIN embeddings e)) WHERE rank <= 10""",
 )
+
+_LIST = "'[' || array_to_string({c}, ', ') || ']'"
+oracle(
+    "page_cards",
+    """
+SELECT 'page:' || doc_id || ':' || page_id AS evidence_id, doc_id, page_image_path AS image_payload,
+       CASE WHEN page_image_path IS NOT NULL THEN '' ELSE
+         '[PAGE]' || chr(10) || 'Document: ' || doc_id || chr(10) || 'Page number: ' || page_id || chr(10)
+           || 'Snippet:' || chr(10) || text END AS text_payload
+FROM og_pages""",
+)
+ENTITY_TEXT = (
+    "'[ENTITY]' || chr(10) || 'Document: ' || doc_id || chr(10) || 'name: ' || name || chr(10) || 'entity_type: ' "
+    "|| entity_type || chr(10) || 'modality: ' || modality || chr(10) || coalesce(CASE WHEN modality = 'visual' THEN "
+    "'visual_type: ' || visual_type || chr(10) END, '') || 'description: ' || description || chr(10) || "
+    "'mentioned_on_pages: ' || " + _LIST.format(c="source_pages")
+)
+oracle("entity_cards", f"SELECT 'entity:' || entity_id AS evidence_id, doc_id, {ENTITY_TEXT} AS text_payload FROM og_nodes")
+RELATION_TEXT = (
+    "'[RELATION]' || chr(10) || 'Document: ' || e.doc_id || chr(10) || 'head: ' || h.name || chr(10) || 'relation: ' "
+    "|| relation || chr(10) || 'tail: ' || t.name || chr(10) || 'evidence: ' || e.description || chr(10) || "
+    "'source_pages: ' || " + _LIST.format(c="e.source_pages")
+)
+_RELATION_CARDS = f"""
+SELECT 'relation:' || edge_id AS evidence_id, e.doc_id, {RELATION_TEXT} AS text_payload
+FROM og_edges e JOIN og_nodes h ON e.src_id = h.entity_id JOIN og_nodes t ON e.tgt_id = t.entity_id"""
+oracle("relation_cards", _RELATION_CARDS)
+
+# ---- expansion -----------------------------------------------------------------------
+
+ANCHORS = """
+SELECT qid, doc_id, page_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, evidence_id) AS rank FROM (
+    SELECT q.qid, p.doc_id, p.page_id, c.evidence_id, round(list_dot_product(q.vector, c.vector), 6) AS score
+    FROM og_questions_n q CROSS JOIN og_cards_n c JOIN og_pages p ON c.evidence_id = 'page:' || p.doc_id || ':' || p.page_id
+    WHERE c.evidence_type = 'page')) WHERE rank <= 30"""
+
+
+def expansion(rounds: int, beam: int, weight: float) -> dict[str, str]:
+    """The expansion unrolled into one chain of views."""
+    v = {
+        "anch": ANCHORS,
+        "bs": """SELECT q.qid, c.evidence_id, round(list_dot_product(q.vector, c.vector), 6) AS s
+                 FROM og_questions_n q CROSS JOIN og_cards_n c WHERE c.evidence_type <> 'page'""",
+        "f0": "SELECT DISTINCT qid, doc_id, page_id FROM anch",
+    }
+    for r in range(1, rounds + 1):
+        v[f"t{r}"] = f"SELECT DISTINCT qid, evidence_id FROM f{r - 1} JOIN og_incidence USING (doc_id, page_id)"
+        v[f"p{r}"] = (
+            f"SELECT qid, doc_id, page_id, max(s) AS s FROM t{r} JOIN bs USING (qid, evidence_id) "
+            "JOIN og_incidence USING (evidence_id) GROUP BY ALL"
+        )
+        v[f"f{r}"] = (
+            "SELECT qid, doc_id, page_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, page_id, doc_id) "
+            f"AS n FROM p{r}) WHERE n <= {beam}"
+        )
+    v["best"] = (
+        "SELECT qid, doc_id, page_id, max(s) AS s FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM p{r}" for r in range(1, rounds + 1))
+        + ") GROUP BY ALL"
+    )
+    v["cand"] = """
+        SELECT qid, doc_id, page_id, coalesce(a.score, 0) AS a, b.s AS b,
+               min(coalesce(a.score, 0)) OVER w AS alo, max(coalesce(a.score, 0)) OVER w AS ahi,
+               min(b.s) OVER w AS blo, max(b.s) OVER w AS bhi
+        FROM anch a FULL JOIN best b USING (qid, doc_id, page_id) WINDOW w AS (PARTITION BY qid)"""
+    v["ranked"] = f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, doc_id) AS rank FROM (
+          SELECT qid, doc_id, page_id, round({weight}::DOUBLE * (CASE WHEN ahi <= alo THEN 1 ELSE (a - alo) / (ahi - alo) END)
+            + (1 - {weight}::DOUBLE) * (CASE WHEN b IS NULL THEN 0 WHEN bhi <= blo THEN 1 ELSE (b - blo) / (bhi - blo) END), 6) AS score
+          FROM cand)) WHERE rank <= {beam}"""
+    v["touched"] = " UNION ".join(f"SELECT * FROM t{r}" for r in range(1, rounds + 1))
+    v["node_scores"] = "SELECT qid, evidence_id, greatest(s, 0) AS score FROM touched JOIN bs USING (qid, evidence_id)"
+    return v
+
+
+_EXP = expansion(2, 50, 0.7)
+oracle(
+    "expanded_pages",
+    """SELECT qid, doc_id, page_id, score, CAST(rank AS INTEGER) AS rank, page_image_path
+       FROM ranked JOIN og_pages USING (doc_id, page_id)""",
+    **_EXP,
+)
+oracle("expanded_bridge_scores", "SELECT qid, evidence_id, score FROM node_scores", **_EXP)
+
+_ITEMS = {
+    **_EXP,
+    "per_page": """
+        SELECT * FROM (SELECT i.*, row_number() OVER (PARTITION BY i.doc_id, i.page_id, evidence_type ORDER BY evidence_id) AS n
+        FROM og_incidence i WHERE (i.doc_id, i.page_id) IN (SELECT (doc_id, page_id) FROM ranked)) WHERE n <= 4""",
+    "deck": f"""
+        SELECT 'entity:' || entity_id AS evidence_id, {ENTITY_TEXT} AS payload, source_pages FROM og_nodes
+        UNION ALL SELECT evidence_id, text_payload, source_pages FROM (
+          SELECT 'relation:' || edge_id AS evidence_id, {RELATION_TEXT} AS text_payload, e.source_pages
+          FROM og_edges e JOIN og_nodes h ON e.src_id = h.entity_id JOIN og_nodes t ON e.tgt_id = t.entity_id)""",
+    "bodies": """
+        SELECT evidence_id, source_pages, array_to_string(list_filter(string_split(payload, chr(10)),
+          lambda x: x <> '' AND NOT starts_with(x, '[ENTITY]') AND NOT starts_with(x, '[RELATION]') AND NOT starts_with(x, 'Document:')), ' ') AS body
+        FROM deck""",
+    "raw_items": """
+        SELECT qid, 'page' AS type, '[p' || page_id || '] ' || page_summary AS text, 'page:' || doc_id || ':' || page_id AS source_id,
+               'page:' || doc_id || ':' || page_id AS card_id, [page_id] AS page_ids, rank, 0 AS slot, 0 AS n
+        FROM ranked JOIN og_pages USING (doc_id, page_id) WHERE page_summary IS NOT NULL
+        UNION ALL
+        SELECT qid, 'page', '[p' || page_id || '] text: ' || text, 'page_text:' || doc_id || ':' || page_id,
+               'page:' || doc_id || ':' || page_id, [page_id], rank, 1, 0
+        FROM ranked JOIN og_pages USING (doc_id, page_id)
+        UNION ALL
+        SELECT qid, evidence_type, '[p' || page_id || '] ' || body, evidence_id, evidence_id, source_pages, rank,
+               CASE WHEN evidence_type = 'entity' THEN 2 ELSE 3 END, n
+        FROM ranked JOIN per_page USING (doc_id, page_id) JOIN bodies USING (evidence_id)""",
+    "once": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY rank, slot, n) AS k FROM raw_items) WHERE k = 1""",
+    "items": """
+        SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, slot, n) AS seq FROM (
+          SELECT o.qid, type, o.text, source_id, page_ids, rank, slot, o.n,
+                 round(0.7::DOUBLE * coalesce(ns.score, 0) / (CASE WHEN coalesce(top, 0) = 0 THEN 1 ELSE top END)
+                   + (1 - 0.7::DOUBLE) * greatest(round(list_dot_product(q.vector, c.vector), 6), 0), 6) AS score
+          FROM once o JOIN og_cards_n c ON c.evidence_id = o.card_id JOIN og_questions_n q ON q.qid = o.qid
+          LEFT JOIN node_scores ns ON ns.qid = o.qid AND ns.evidence_id = o.source_id
+          LEFT JOIN (SELECT qid, max(score) AS top FROM node_scores GROUP BY qid) m ON m.qid = o.qid)""",
+}
+oracle("text_items", "SELECT qid, type, text, source_id, score, CAST(seq AS INTEGER) AS seq FROM items", **_ITEMS)
+oracle(
+    "evidence_within_budget",
+    """
+SELECT qid, string_agg(printf('%d. [%s; p%03d; score=%.3f] %s', seq, type, page_ids[1], round(score, 3), text), chr(10) ORDER BY seq) AS evidence
+FROM (SELECT *, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY qid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS used FROM items)
+WHERE seq = 1 OR used <= 2000 GROUP BY qid""",
+    **_ITEMS,
+)
+oracle(
+    "reranked_pages",
+    """
+SELECT qid, doc_id, page_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN p <= 10 THEN 0 ELSE 1 END,
+       CASE WHEN p <= 10 THEN p ELSE rank END) AS INTEGER) AS rank
+FROM (SELECT *, CASE WHEN cand AND n_cand > 1 THEN row_number() OVER (PARTITION BY qid, cand ORDER BY rs DESC, rank) END AS p
+      FROM (SELECT *, count(*) FILTER (cand) OVER (PARTITION BY qid) AS n_cand
+            FROM (SELECT r.qid, r.doc_id, r.page_id, r.rank,
+                         round(((o_totalprice * 100 + qid * 977) % 1000) / 1000, 3) AS rs,
+                         page_image_path IS NOT NULL AND count(page_image_path) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) <= 20 AS cand
+                  FROM ranked r JOIN og_pages USING (doc_id, page_id) JOIN orders ON o_orderkey = page_id)))""",
+    **_EXP,
+)
+
+# ---- retrieval graph -------------------------------------------------------------------
+
+RG = {
+    "rel": """
+        SELECT e.*, h.name AS head_name, t.name AS tail_name, h.entity_id IS NOT NULL AS hk, t.entity_id IS NOT NULL AS tk
+        FROM og_all_edges e LEFT JOIN og_nodes h ON e.src_id = h.entity_id LEFT JOIN og_nodes t ON e.tgt_id = t.entity_id""",
+    "on_page": """
+        SELECT 'entity:' || entity_id AS me, 'entity' AS kind, doc_id, unnest(source_pages) AS page_id FROM og_nodes
+        UNION ALL SELECT 'relation:' || edge_id, 'relation', doc_id, unnest(source_pages) FROM rel WHERE edge_type <> 'same_as'""",
+    "pg": "SELECT me, kind, 'page:' || p.doc_id || ':' || p.page_id AS page FROM on_page JOIN og_pages p USING (doc_id, page_id)",
+    "rge": """
+        SELECT page AS src, me AS dst, CASE kind WHEN 'entity' THEN 'page_mentions_entity' ELSE 'page_supports_relation' END AS edge_type FROM pg
+        UNION ALL SELECT me, page, CASE kind WHEN 'entity' THEN 'entity_source_page' ELSE 'relation_source_page' END FROM pg
+        UNION ALL SELECT 'relation:' || edge_id, 'entity:' || src_id, 'relation_head_entity' FROM rel WHERE hk AND edge_type <> 'same_as'
+        UNION ALL SELECT 'entity:' || src_id, 'relation:' || edge_id, 'entity_head_relation' FROM rel WHERE hk AND edge_type <> 'same_as'
+        UNION ALL SELECT 'relation:' || edge_id, 'entity:' || tgt_id, 'relation_tail_entity' FROM rel WHERE tk AND src_id <> tgt_id AND edge_type <> 'same_as'
+        UNION ALL SELECT 'entity:' || tgt_id, 'relation:' || edge_id, 'entity_tail_relation' FROM rel WHERE tk AND src_id <> tgt_id AND edge_type <> 'same_as'
+        UNION ALL SELECT 'entity:' || src_id, 'entity:' || tgt_id, 'same_as' FROM rel WHERE hk AND tk AND src_id <> tgt_id AND edge_type = 'same_as'
+        UNION ALL SELECT 'entity:' || tgt_id, 'entity:' || src_id, 'same_as' FROM rel WHERE hk AND tk AND src_id <> tgt_id AND edge_type = 'same_as'""",
+}
+oracle("retrieval_graph_edges", "SELECT src, dst, edge_type, 1.0::DOUBLE AS weight FROM rge", **RG)
+oracle(
+    "retrieval_graph_nodes",
+    """
+SELECT 'page:' || doc_id || ':' || page_id AS external_id, 'page' AS node_type, doc_id, CAST(page_id AS VARCHAR) AS pages, NULL AS head_name, NULL AS name FROM og_pages
+UNION ALL SELECT 'entity:' || entity_id, 'entity', doc_id, array_to_string(source_pages, ','), NULL, name FROM og_nodes
+UNION ALL SELECT 'relation:' || edge_id, 'relation', doc_id, array_to_string(source_pages, ','), coalesce(head_name, '?'), NULL FROM rel WHERE edge_type <> 'same_as'""",
+    **RG,
+)
+oracle(
+    "retrieval_graph_stats",
+    """
+SELECT (SELECT count(*) FROM og_pages) AS n_pages, (SELECT count(*) FROM og_nodes) AS n_entities,
+       (SELECT count(*) FROM og_edges) AS n_relations, (SELECT count(*) FROM rge) AS n_edges,
+       (SELECT count(*) FROM rel WHERE edge_type = 'same_as' AND hk AND tk AND src_id <> tgt_id) AS n_same_as_pairs,
+       (SELECT count(*) FROM rel WHERE edge_type = 'same_as' AND NOT (hk AND tk AND src_id <> tgt_id)) AS n_same_as_dropped""",
+    **RG,
+)
+oracle(
+    "graph_reads",
+    """
+SELECT external_id, degree, n_entities, n_relations, n_pages, first_page FROM
+  (SELECT src AS external_id, count(*) AS degree FROM rge GROUP BY src)
+  LEFT JOIN (SELECT page AS external_id, count(DISTINCT me) AS n_entities FROM pg WHERE kind = 'entity' GROUP BY page) USING (external_id)
+  LEFT JOIN (SELECT page AS external_id, count(DISTINCT me) AS n_relations FROM pg WHERE kind = 'relation' GROUP BY page) USING (external_id)
+  LEFT JOIN (SELECT me AS external_id, count(DISTINCT page) AS n_pages, min(page) AS first_page FROM pg GROUP BY me) USING (external_id)""",
+    **RG,
+)
+
+
+def walk(depth: int, cap: int) -> dict[str, str]:
+    """Bounded search, one view per level."""
+    v = {
+        **RG,
+        "anch": ANCHORS,
+        "links": "SELECT DISTINCT src, dst FROM rge",
+        "s0": "SELECT qid, 'page:' || doc_id || ':' || page_id AS node, 0 AS depth FROM anch",
+    }
+    for d in range(1, depth + 1):
+        v[f"r{d}"] = (
+            f"SELECT DISTINCT qid, dst AS node FROM s{d - 1} JOIN links ON node = src WHERE depth = {d - 1} "
+            f"EXCEPT SELECT qid, node FROM s{d - 1}"
+        )
+        v[f"s{d}"] = (
+            f"SELECT qid, node, depth FROM s{d - 1} UNION ALL SELECT qid, node, {d} FROM ("
+            f"SELECT qid, node, row_number() OVER (PARTITION BY qid ORDER BY node) AS n FROM r{d}) "
+            f"JOIN (SELECT qid, count(*) AS used FROM s{d - 1} GROUP BY qid) USING (qid) WHERE n + used <= {cap}"
+        )
+    return v
+
+
+oracle("bounded_neighbourhood", "SELECT qid, node, CAST(depth AS INTEGER) AS depth FROM s3", **walk(3, 1000))
+
+
+def pagerank(depth: int, cap: int, iters: int) -> dict[str, str]:
+    v = {
+        **walk(depth, cap),
+        "seed": """SELECT s.qid, s.node, greatest(coalesce(a.score, 0), 0) / sum(greatest(coalesce(a.score, 0), 0)) OVER (PARTITION BY s.qid) AS s
+                   FROM s%d s LEFT JOIN anch a ON a.qid = s.qid AND 'page:' || a.doc_id || ':' || a.page_id = s.node""" % depth,
+        "ie": """SELECT qid, src, dst, 1.0::DOUBLE / sum(n) OVER (PARTITION BY qid, src) AS w FROM (
+                   SELECT a.qid, e.src, e.dst, count(*) AS n FROM s%d a JOIN rge e ON e.src = a.node
+                   JOIN s%d b ON b.qid = a.qid AND b.node = e.dst GROUP BY ALL)""" % (depth, depth),
+        "dang": "SELECT qid, node FROM seed EXCEPT SELECT qid, src FROM ie",
+        "m0": "SELECT qid, node, s, s AS r FROM seed",
+    }
+    for i in range(1, iters + 1):
+        v[f"m{i}"] = f"""
+            SELECT m.qid, m.node, m.s, 0.15::DOUBLE * m.s + 0.85::DOUBLE * coalesce(f, 0) + 0.85::DOUBLE * coalesce(d, 0) * m.s AS r
+            FROM m{i - 1} m
+            LEFT JOIN (SELECT ie.qid, ie.dst, sum(x.r * w) AS f FROM ie JOIN m{i - 1} x ON x.qid = ie.qid AND x.node = ie.src GROUP BY ALL) fl
+              ON fl.qid = m.qid AND fl.dst = m.node
+            LEFT JOIN (SELECT x.qid, sum(x.r) AS d FROM dang JOIN m{i - 1} x ON x.qid = dang.qid AND x.node = dang.node GROUP BY ALL) dd
+              ON dd.qid = m.qid"""
+    v["pm"] = f"""SELECT m.qid, p.doc_id, p.page_id, m.r AS mass FROM m{iters} m JOIN og_pages p ON m.node = 'page:' || p.doc_id || ':' || p.page_id"""
+    v["pc"] = """SELECT qid, doc_id, page_id, coalesce(score, 0) AS a, coalesce(mass, 0) AS b,
+                 min(coalesce(score, 0)) OVER w AS alo, max(coalesce(score, 0)) OVER w AS ahi,
+                 min(coalesce(mass, 0)) OVER w AS blo, max(coalesce(mass, 0)) OVER w AS bhi
+                 FROM anch FULL JOIN pm USING (qid, doc_id, page_id) WINDOW w AS (PARTITION BY qid)"""
+    return v
+
+
+oracle(
+    "pagerank_pages",
+    """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id, doc_id) AS INTEGER) AS rank FROM (
+         SELECT qid, doc_id, page_id, round(0.7::DOUBLE * (CASE WHEN ahi <= alo THEN 1 ELSE (a - alo) / (ahi - alo) END)
+           + (1 - 0.7::DOUBLE) * (CASE WHEN bhi <= blo THEN 1 ELSE (b - blo) / (bhi - blo) END), 6) AS score FROM pc)) WHERE rank <= 50""",
+    **pagerank(3, 1000, 8),
+)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.ids import edge_id, entity_id
+from quire.functions.ids import align_edge_id, edge_id, entity_id
 
 
 class Tables:
@@ -135,6 +135,37 @@ def og_edges(t: Tables) -> DataFrame:
     )
 
 
+def og_same_as(t: Tables) -> DataFrame:
+    """same_as links from a part to the next part of the catalogue in the same document.
+
+    Deep-discount, high-tax line items decide which; confidence is 0.9 or, for open lines,
+    0.8. Some links name a part that no page of the document mentions.
+    """
+    n_parts = t.part.agg(F.count("*").alias("n_parts"))
+    m = og_mentions(t).filter("l_discount >= 0.095 AND l_tax >= 0.065").crossJoin(F.broadcast(n_parts))
+    nxt = t.part.select(
+        F.col("p_partkey").alias("next_key"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("next_name")
+    )
+    links = (
+        m.withColumn("next_key", (F.col("l_partkey") + 1) % F.col("n_parts"))
+        .join(nxt, "next_key")
+        .select(
+            F.col("tgt_id").alias("src_id"),
+            entity_id(F.col("doc_id"), F.col("next_name")).alias("tgt_id"),
+            F.when(F.col("l_linestatus") == "F", 0.9).otherwise(0.8).alias("confidence"),
+            "doc_id",
+            "page_id",
+        )
+    )
+    return links.groupBy("src_id", "tgt_id", "doc_id").agg(
+        F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("page_id")).alias("source_pages")
+    ).select(
+        align_edge_id(F.col("src_id"), F.col("tgt_id"), F.lit("same_as")).alias("edge_id"),
+        "doc_id", "src_id", "tgt_id", F.lit("same_as").alias("relation"), "confidence", "source_pages",
+        F.lit("same_as").alias("edge_type"), F.lit("").alias("description"),
+    )
+
+
 def og_incidence(t: Tables) -> DataFrame:
     """(evidence_id, evidence_type, doc_id, page_id): which entity or relation is on which page."""
     m = og_mentions(t).select("doc_id", "page_id", "src_id", "tgt_id", "edge_id")
