@@ -1,0 +1,31 @@
+"""Top-k text search under the hashed bag-of-words encoder, on sparse postings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.functions.vectors import hashed_postings
+from quire.operators.ordering import top_per_group
+from quire.session import materialize
+
+
+def topk(queries: DataFrame, items: DataFrame, k: int, *, dim: int, digits: int = 6) -> DataFrame:
+    """``queries(qid, text)`` x ``items(id, text)`` -> (qid, id, score, rank).
+
+    Both sides become (slot, weight) postings; the dot product is a join on the slot and
+    a sum of whole numbers, combined map-side. Items that share no slot with a query
+    score zero and are not listed.
+    """
+    q = materialize(hashed_postings(queries, "qid", F.col("text"), dim), "query-postings")
+    d = materialize(hashed_postings(items, "id", F.col("text"), dim), "item-postings")
+    qn = q.groupBy("qid").agg(F.sum(F.col("weight") * F.col("weight")).alias("qq"))
+    dn = d.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("dd"))
+    dots = (
+        d.join(q.withColumnRenamed("weight", "qw"), "slot")
+        .groupBy("qid", "id")
+        .agg(F.sum(F.col("weight") * F.col("qw")).alias("dot"))
+    )
+    score = F.round(F.col("dot") / F.sqrt(F.col("qq") * F.col("dd")), digits)
+    scored = dots.join(qn, "qid").join(dn, "id").select("qid", "id", score.alias("score"))
+    return top_per_group(scored, ["qid"], [F.desc("score"), "id"], k, out="rank")

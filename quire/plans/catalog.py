@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.functions.ids import page_evidence_id
-from quire.operators import cards, context, expand, graphs, knn, pagerank
+from quire.operators import align, canonical, cards, context, dedupe, expand, graphs, knn, pagerank, sparse
 from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
@@ -201,3 +202,155 @@ def pagerank_pages(t: Tables) -> DataFrame:
     anchors, links = _walk_inputs(t)
     hits, _ = pagerank.propagate(anchors, links, og.og_pages(t), **WALK)
     return hits.select("qid", "doc_id", "page_id", "score", "rank")
+
+
+# ---- ids and text rules ----------------------------------------------------------------
+
+
+@query
+def entity_ids(t: Tables) -> DataFrame:
+    return og.og_nodes(t).select("entity_id", "doc_id", "name", F.size("source_pages").cast("bigint").alias("n_pages"))
+
+
+@query
+def edge_ids(t: Tables) -> DataFrame:
+    return og.og_edges(t).select(
+        "edge_id", "src_id", "tgt_id", "relation", "confidence", F.size("source_pages").cast("bigint").alias("n_pages")
+    )
+
+
+@query
+def normalized_relations(t: Tables) -> DataFrame:
+    """Priority and status of every order as a raw relation name."""
+    raw = F.concat(F.lit(" Is ("), F.col("o_orderpriority"), F.lit(") - "), F.col("o_orderstatus"), F.lit("/ordered; By! "))
+    rows = t.orders.select(raw.alias("raw"))
+    return rows.groupBy("raw").agg(F.count("*").alias("n")).withColumn("relation", text.normalize_relation(F.col("raw")))
+
+
+@query
+def document_token_sets(t: Tables) -> DataFrame:
+    """Stemmed content words of every document, as a digest."""
+    d = t.documents.select("doc_id", text.relation_tokens(F.col("text")).alias("tokens"))
+    return d.select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.encode(F.array_join("tokens", " "), "UTF-8")).alias("digest")
+    )
+
+
+@query
+def compacted_documents(t: Tables) -> DataFrame:
+    """Every document with the sentences that others already cover removed."""
+    d = t.documents.select("doc_id", text.compact_description(F.col("text"), 1_000_000).alias("kept"))
+    return d.select("doc_id", F.length("kept").cast("bigint").alias("n_chars"), F.md5(F.encode("kept", "UTF-8")).alias("digest"))
+
+
+@query
+def hashed_text_search(t: Tables) -> DataFrame:
+    """Best documents for every benchmark text under the hashed bag-of-words encoder."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    asks = t.benchmark.select(F.col("item_id").alias("qid"), "text")
+    return sparse.topk(asks, docs, 5, dim=256).select("qid", "id", "score", "rank")
+
+
+# ---- graph clean-up ----------------------------------------------------------------------
+
+
+@query
+def near_duplicate_collapse(t: Tables) -> DataFrame:
+    out = dedupe.collapse_near_duplicates(og.og_edges(t))
+    return out.select(
+        "edge_id", "src_id", "tgt_id", "relation", "confidence", "description",
+        F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"),
+    )
+
+
+@query
+def orphan_edges_dropped(t: Tables) -> DataFrame:
+    """same_as links may name a part no page mentions; those are orphans."""
+    return dedupe.drop_orphan_edges(og.og_nodes(t), og.og_same_as(t)).select("edge_id", "src_id", "tgt_id")
+
+
+@query
+def sanitized_types(t: Tables) -> DataFrame:
+    return dedupe.sanitize_types(og.og_nodes(t)).select("entity_id", "modality", "entity_type", "visual_type")
+
+
+@query
+def same_as_components(t: Tables) -> DataFrame:
+    return graphs.connected_components(og.og_same_as(t), "src_id", "tgt_id")
+
+
+def _canonical(t: Tables):
+    nodes, edges = _graph(t)
+    return canonical.canonicalize(nodes, materialize(edges, "graph-edges"))
+
+
+@query
+def canonical_nodes(t: Tables) -> DataFrame:
+    nodes, _, mapping = _canonical(t)
+    size = mapping.groupBy(F.col("canonical_id").alias("entity_id")).agg(F.count("*").alias("members"))
+    return nodes.join(size, "entity_id").select(
+        "entity_id", "name", "entity_type", "modality", "visual_type", "members",
+        F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"),
+    )
+
+
+@query
+def canonical_edges(t: Tables) -> DataFrame:
+    _, edges, _ = _canonical(t)
+    return edges.select(
+        "edge_id", "src_id", "tgt_id", "relation", "confidence",
+        F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"),
+    )
+
+
+# ---- alignment ---------------------------------------------------------------------------
+
+
+@query
+def cross_page_candidates(t: Tables) -> DataFrame:
+    """Nearest vectors that share no page; every fiftieth vector sits on the same page."""
+    nodes = t.embeddings.select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.array(F.col("vec_id") % 50).alias("pages")
+    )
+    return knn.neighbours(nodes, 20)
+
+
+@query
+def hub_filtered_edges(t: Tables) -> DataFrame:
+    return align.drop_generic_hub_edges(og.og_judged(t)).select("edge_id", "src_id", "tgt_id", "relation", "confidence")
+
+
+@query
+def strong_edges(t: Tables) -> DataFrame:
+    return align.strong_edges(og.og_judged(t), og.og_edges(t)).select("edge_id", "src_id", "tgt_id", "confidence")
+
+
+@query
+def rescued_edges(t: Tables) -> DataFrame:
+    kept = align.rescue(og.og_judged(t), og.og_nodes(t), og.og_extracted_sample(t))
+    return align.first_per_link(kept).select("edge_id", "src_id", "tgt_id", "relation", "confidence", "kept_as")
+
+
+@query
+def judge_decisions(t: Tables) -> DataFrame:
+    """Decode one judge reply per part entity that has a same_as candidate."""
+    same = og.og_same_as(t)
+    nodes = materialize(og.og_nodes(t), "nodes")
+    cands = same.select("src_id", "tgt_id", F.lit(1).alias("rank"))
+    name = nodes.select(F.col("entity_id").alias("tgt_id"), F.col("name").alias("cand"))
+    replies = (
+        same.join(name, "tgt_id")
+        .select(
+            "src_id",
+            F.concat(
+                F.lit('Decisions follow. [{"candidate": "'), "cand", F.lit('", "decision": "'),
+                F.when(F.col("confidence") >= 0.9, "same_as").otherwise("Related"),
+                F.lit('", "rs": '), F.round(F.col("confidence") * 10).cast("int").cast("string"),
+                F.lit(', "relation": "sold next to", "rationale": "r"}] done'),
+            ).alias("reply"),
+        )
+    )
+    return align.decode_judgements(replies, cands, nodes).select(
+        "edge_id", "src_id", "tgt_id", "relation", "edge_type", "confidence",
+        F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"),
+    )

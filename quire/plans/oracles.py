@@ -63,6 +63,12 @@ VIEWS: dict[str, str] = {
               FROM og_mentions m JOIN part n ON n.p_partkey = (l_partkey + 1) % (SELECT count(*) FROM part)
               WHERE l_discount >= 0.095 AND l_tax >= 0.065)
         GROUP BY doc_id, src_id, tgt_id""",
+    "og_judged": f"""
+        SELECT {_uuid('A:', "'ALIGN::' || src_id || '::' || tgt_id || '::' || rel")} AS edge_id, src_id, tgt_id, rel AS relation,
+               max(conf) AS confidence
+        FROM (SELECT src_id, tgt_id, round(confidence - (CASE WHEN l_linenumber % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END), 2) AS conf,
+                     CASE l_returnflag WHEN 'N' THEN 'is_part_of' WHEN 'A' THEN 'supports' ELSE 'ships' END AS rel FROM og_mentions)
+        GROUP BY src_id, tgt_id, rel""",
     "og_all_edges": """
         SELECT edge_id, doc_id, src_id, tgt_id, relation, confidence, source_pages, edge_type, description FROM og_edges
         UNION ALL SELECT edge_id, doc_id, src_id, tgt_id, relation, confidence, source_pages, edge_type, description FROM og_same_as""",
@@ -398,3 +404,203 @@ oracle(
            + (1 - 0.7::DOUBLE) * (CASE WHEN bhi <= blo THEN 1 ELSE (b - blo) / (bhi - blo) END), 6) AS score FROM pc)) WHERE rank <= 50""",
     **pagerank(3, 1000, 8),
 )
+
+
+# ---- ids and text rules --------------------------------------------------------------------
+
+oracle("entity_ids", "SELECT entity_id, doc_id, name, len(source_pages) AS n_pages FROM og_nodes")
+oracle("edge_ids", "SELECT edge_id, src_id, tgt_id, relation, confidence, len(source_pages) AS n_pages FROM og_edges")
+oracle(
+    "normalized_relations",
+    r"""
+SELECT raw, count(*) AS n, any_value(CASE WHEN length(r) > 80 THEN '' ELSE r END) AS relation FROM (
+  SELECT raw, trim(regexp_replace(regexp_replace(lower(trim(raw)), '[ \t/\\(){}\[\]''"`,;:!?-]', '_', 'g'), '_{2,}', '_', 'g'), '_') AS r
+  FROM (SELECT ' Is (' || o_orderpriority || ') - ' || o_orderstatus || '/ordered; By! ' AS raw FROM orders)) GROUP BY raw""",
+)
+_STOP = "['to','of','by','for','in','on','at','with','as','the','a','an','is','are','be','being','been','was','were','and','or','that','which','this','these','those','can','could','should','would','may','might','will','shall']"
+_STEM = "^(.{3,}?)(?:ization|ational|fulness|ousness|iveness|ication|iciency|ation|ement|ities|iness|ence|ance|ment|ness|tion|sion|ing|est|ity|or|er|ed|es|ly|al|ic|s)$"
+_STEM_CALL = r"regexp_replace(w, '" + _STEM + r"', '\1')"
+TOKENS = (
+    r"list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(translate(lower(@c@), '-_', '  '), '\s+'), "
+    f"lambda w: NOT list_contains({_STOP}, w)), lambda w: {_STEM_CALL}), lambda w: length(w) >= 3)))"
+)
+oracle(
+    "document_token_sets",
+    f"SELECT doc_id, len(tok) AS n_tokens, md5(array_to_string(tok, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.replace('@c@', 'text')} AS tok FROM documents)",
+)
+_FRAG_STOP = "['the','a','an','of','to','in','on','for','by','at','with','as','is','are','was','were','be','been','being','and','or','that','which','this','these','those','it','its']"
+_FRAG_STEM = _STEM.replace("|iciency", "")
+COMPACT = {
+    "frags": r"""
+        SELECT doc_id, unnest(f) AS frag, generate_subscripts(f, 1) AS i FROM (
+          SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1<SEP>', 'g'), '<SEP>'),
+                 lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS f FROM documents)""",
+    "toks": rf"""
+        SELECT *, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(frag), '[a-z0-9]+'),
+               lambda w: length(w) >= 3 AND NOT list_contains({_FRAG_STOP}, w)), lambda w: regexp_replace(w, '{_FRAG_STEM}', '\1')))) AS tk,
+               max(i) OVER (PARTITION BY doc_id, frag) AS last_i, count(*) OVER (PARTITION BY doc_id) AS n_frag
+        FROM frags""",
+    "reps": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, tk ORDER BY length(frag) DESC, i) AS rn FROM toks WHERE len(tk) > 0) WHERE rn = 1""",
+    "inner_sets": """
+        SELECT DISTINCT a.doc_id, a.tk FROM (SELECT doc_id, tk, unnest(tk) AS w FROM reps) a
+        JOIN (SELECT doc_id, tk, unnest(tk) AS w FROM reps) b ON a.doc_id = b.doc_id AND a.w = b.w AND len(b.tk) > len(a.tk)
+        GROUP BY a.doc_id, a.tk, b.tk HAVING count(*) = len(a.tk)""",
+    "kept": """
+        SELECT doc_id, string_agg(frag, ' ' ORDER BY last_i) AS k FROM reps
+        WHERE NOT EXISTS (SELECT 1 FROM inner_sets s WHERE s.doc_id = reps.doc_id AND s.tk = reps.tk) GROUP BY doc_id""",
+}
+oracle(
+    "compacted_documents",
+    r"""
+SELECT doc_id, length(k) AS n_chars, md5(k) AS digest FROM (
+  SELECT d.doc_id, CASE WHEN coalesce(n, 0) < 2 THEN regexp_replace(d.text, '^\s+|\s+$', '', 'g') ELSE coalesce(kept.k, '') END AS k
+  FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM frags GROUP BY doc_id) c ON c.doc_id = d.doc_id)""",
+    **COMPACT,
+)
+
+
+def _postings(table: str, key: str) -> str:
+    return (
+        f"SELECT {key}, slot, sum(sign) AS w FROM (SELECT {key}, h % 256 AS slot, CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END AS sign "
+        f"FROM (SELECT {key}, ('0x' || substr(md5(tok), 1, 16))::UBIGINT AS h FROM (SELECT {key}, "
+        rf"unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS tok FROM {table}))) GROUP BY ALL HAVING sum(sign) <> 0"
+    )
+
+
+oracle(
+    "hashed_text_search",
+    """
+SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+    SELECT qid, id, round(CAST(dot AS DOUBLE) / sqrt(CAST(qq AS DOUBLE) * CAST(dd AS DOUBLE)), 6) AS score
+    FROM (SELECT q.item_id AS qid, d.doc_id AS id, sum(q.w * d.w) AS dot FROM qp q JOIN dp d USING (slot) GROUP BY ALL)
+    JOIN (SELECT item_id AS qid, sum(w * w) AS qq FROM qp GROUP BY ALL) USING (qid)
+    JOIN (SELECT doc_id AS id, sum(w * w) AS dd FROM dp GROUP BY ALL) USING (id))) WHERE rank <= 5""",
+    qp=_postings("benchmark", "item_id"),
+    dp=_postings("documents", "doc_id"),
+)
+
+# ---- graph clean-up ------------------------------------------------------------------------
+
+_DUP = {
+    "ranked": f"""
+        SELECT *, row_number() OVER (PARTITION BY src_id, tgt_id ORDER BY len(tk) DESC, confidence DESC, length(relation) DESC, edge_id) AS rn
+        FROM (SELECT *, {TOKENS.replace('@c@', 'relation')} AS tk FROM og_edges)""",
+    "covered": """
+        SELECT a.edge_id, b.edge_id AS rep_id, b.rn AS rep_rn FROM ranked a JOIN ranked b
+        ON a.src_id = b.src_id AND a.tgt_id = b.tgt_id AND b.rn < a.rn AND list_has_all(b.tk, a.tk)""",
+    "reps": "SELECT * FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.edge_id = r.edge_id)",
+    "member": """
+        SELECT edge_id, edge_id AS rep_id FROM reps
+        UNION ALL SELECT c.edge_id, arg_min(c.rep_id, c.rep_rn) FROM covered c JOIN reps ON reps.edge_id = c.rep_id GROUP BY c.edge_id""",
+    "texts": """
+        SELECT rep_id, string_agg(description, ' ' ORDER BY rn) AS description FROM (
+          SELECT rep_id, description, min(rn) AS rn FROM member JOIN ranked USING (edge_id) GROUP BY ALL) GROUP BY rep_id""",
+}
+oracle(
+    "near_duplicate_collapse",
+    """
+SELECT r.edge_id, r.src_id, r.tgt_id, r.relation, r.confidence, left(t.description, 4000) AS description,
+       array_to_string(p.pages, ',') AS pages
+FROM reps r JOIN texts t ON t.rep_id = r.edge_id
+JOIN (SELECT rep_id, list_sort(list_distinct(flatten(list(source_pages)))) AS pages FROM member JOIN og_edges USING (edge_id) GROUP BY rep_id) p
+  ON p.rep_id = r.edge_id""",
+    **_DUP,
+)
+oracle(
+    "orphan_edges_dropped",
+    "SELECT edge_id, src_id, tgt_id FROM og_same_as WHERE src_id IN (SELECT entity_id FROM og_nodes) AND tgt_id IN (SELECT entity_id FROM og_nodes)",
+)
+_TEXT_TYPES = "('person','organization','group','location','event','date','work_of_art','product','scientific_concept','chapter','section','unit','assessment_type')"
+_VIS_TYPES = "('visual_object','chart_element','diagram_component','table_region','layout_region','figure_panel')"
+oracle(
+    "sanitized_types",
+    f"""
+SELECT entity_id, modality, CASE WHEN et IN {_TEXT_TYPES} OR et IN {_VIS_TYPES} THEN et ELSE 'other' END AS entity_type,
+       CASE WHEN modality = 'visual' AND visual_type NOT IN {_VIS_TYPES} THEN NULL ELSE visual_type END AS visual_type
+FROM (SELECT *, CASE WHEN modality = 'visual' AND entity_type IN {_TEXT_TYPES}
+                     THEN CASE WHEN visual_type IN {_VIS_TYPES} THEN visual_type ELSE 'visual_object' END ELSE entity_type END AS et FROM og_nodes)""",
+)
+
+_CC = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT src_id AS a, tgt_id AS b FROM {edges} UNION SELECT tgt_id, src_id FROM {edges}),
+reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT a AS id, min(b) AS component FROM reach GROUP BY a"""
+
+
+def recursive(name: str, body: str, **extra: str) -> None:
+    """Like :func:`oracle`, for a body whose closure sits in a nested WITH RECURSIVE."""
+    oracle(name, body, **extra)
+
+
+recursive("same_as_components", "SELECT * FROM comp", comp=_CC.format(edges="og_same_as"))
+_CANON = {
+    "ok_links": """SELECT src_id, tgt_id FROM og_same_as WHERE confidence >= 0.9 AND src_id IN (SELECT entity_id FROM og_nodes)
+                   AND tgt_id IN (SELECT entity_id FROM og_nodes)""",
+    "comp": _CC.format(edges="ok_links"),
+    "cm": "SELECT n.*, coalesce(c.component, n.entity_id) AS component FROM og_nodes n LEFT JOIN comp c ON c.id = n.entity_id",
+    "ordered": """SELECT *, row_number() OVER (PARTITION BY component ORDER BY len(source_pages) DESC, length(description) DESC, lower(name), entity_id) AS rn,
+                  count(*) OVER (PARTITION BY component) AS members FROM cm""",
+    "head": "SELECT component, entity_id AS canonical_id FROM ordered WHERE rn = 1",
+    "canon": "SELECT o.entity_id, h.canonical_id FROM ordered o JOIN head h USING (component)",
+    "moved": """SELECT e.edge_id, coalesce(s.canonical_id, e.src_id) AS src_id, coalesce(t.canonical_id, e.tgt_id) AS tgt_id, relation, confidence, source_pages
+                FROM og_edges e LEFT JOIN canon s ON s.entity_id = e.src_id LEFT JOIN canon t ON t.entity_id = e.tgt_id""",
+}
+oracle(
+    "canonical_nodes",
+    """
+SELECT h.canonical_id AS entity_id, first(name ORDER BY rn) AS name, first(entity_type ORDER BY rn) AS entity_type, max(modality) AS modality,
+       last(visual_type ORDER BY rn) FILTER (visual_type IS NOT NULL) AS visual_type, max(members) AS members,
+       array_to_string(list_sort(list_distinct(flatten(list(source_pages)))), ',') AS pages
+FROM ordered JOIN head h USING (component) GROUP BY h.canonical_id""",
+    **_CANON,
+)
+oracle(
+    "canonical_edges",
+    """
+SELECT min(edge_id) AS edge_id, src_id, tgt_id, first(relation ORDER BY edge_id) AS relation, max(confidence) AS confidence,
+       array_to_string(list_sort(list_distinct(flatten(list(source_pages)))), ',') AS pages
+FROM moved WHERE src_id <> tgt_id GROUP BY src_id, tgt_id, lower(trim(relation))""",
+    **_CANON,
+)
+
+# ---- alignment -----------------------------------------------------------------------------
+
+oracle(
+    "cross_page_candidates",
+    """
+SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+    SELECT a.vec_id AS qid, b.vec_id AS id, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS score
+    FROM ev a JOIN ev b ON a.vec_id % 50 <> b.vec_id % 50)) WHERE rank <= 20""",
+    ev="SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings",
+)
+_GENERIC = "('is_part_of','part_of','supports_claim','supports','is_related_to','relates_to','related_to','is_associated_with','associated_with','includes','is_included_in','is_linked_to','linked_to')"
+oracle(
+    "hub_filtered_edges",
+    f"""
+SELECT edge_id, src_id, tgt_id, relation, confidence FROM og_judged WHERE NOT (relation IN {_GENERIC} AND tgt_id IN (
+  SELECT tgt_id FROM og_judged WHERE relation IN {_GENERIC} GROUP BY tgt_id HAVING count(*) >= 5))""",
+)
+oracle(
+    "strong_edges",
+    """
+SELECT edge_id, src_id, tgt_id, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY least(src_id, tgt_id), greatest(src_id, tgt_id) ORDER BY confidence DESC, edge_id) AS rn
+  FROM og_judged WHERE confidence >= 0.9) j
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM og_edges e WHERE least(e.src_id, e.tgt_id) = least(j.src_id, j.tgt_id)
+                             AND greatest(e.src_id, e.tgt_id) = greatest(j.src_id, j.tgt_id))""",
+)
+oracle(
+    "judge_decisions",
+    f"""
+SELECT {_uuid('A:', "'ALIGN::' || src_id || '::' || tgt_id || '::' || relation")} AS edge_id, src_id, tgt_id, relation, edge_type, confidence,
+       array_to_string(list_sort(list_distinct(list_concat(p1, p2))), ',') AS pages
+FROM (SELECT e.src_id, e.tgt_id, CASE WHEN e.confidence >= 0.9 THEN 'same_as' ELSE 'sold_next_to' END AS relation,
+             CASE WHEN e.confidence >= 0.9 THEN 'same_as' ELSE 'semantic' END AS edge_type, e.confidence, s.source_pages AS p1, t.source_pages AS p2,
+             s.entity_type AS et1, t.entity_type AS et2
+      FROM og_same_as e JOIN og_nodes s ON e.src_id = s.entity_id JOIN og_nodes t ON e.tgt_id = t.entity_id)
+WHERE edge_type = 'semantic' OR et1 = et2""",
+)

@@ -9,18 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions.ids import align_edge_id, edge_id, entity_id
 
 
 class Tables:
-    """Lazy readers for one data folder."""
+    """Lazy readers for one data folder; a table's schema is looked up once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        file = f"{self.path}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(file)
 
 
 def og_pages(t: Tables) -> DataFrame:
@@ -166,6 +173,32 @@ def og_same_as(t: Tables) -> DataFrame:
     )
 
 
+def og_judged(t: Tables) -> DataFrame:
+    """Alignment edges as a judge might return them: one per line item, strong or weak.
+
+    Even line numbers lose 0.2 confidence; new items use a generic relation name.
+    """
+    conf = F.round(F.col("confidence") - F.when(F.col("l_linenumber") % 2 == 0, 0.2).otherwise(0.0), 2)
+    rel = (
+        F.when(F.col("l_returnflag") == "N", "is_part_of")
+        .when(F.col("l_returnflag") == "A", "supports")
+        .otherwise("ships")
+    )
+    m = og_mentions(t).select("src_id", "tgt_id", rel.alias("relation"), conf.alias("confidence"), "page_id")
+    return m.groupBy("src_id", "tgt_id", "relation").agg(
+        F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("page_id")).alias("source_pages")
+    ).select(
+        align_edge_id(F.col("src_id"), F.col("tgt_id"), F.col("relation")).alias("edge_id"),
+        "src_id", "tgt_id", "relation", F.lit("semantic").alias("edge_type"), "confidence", "source_pages",
+        align_edge_id(F.col("src_id"), F.col("tgt_id"), F.col("relation")).alias("seq"),
+    )
+
+
+def og_extracted_sample(t: Tables) -> DataFrame:
+    """Relations of returned items: what extraction already knows before alignment."""
+    return og_edges(t).filter("relation = 'is shipping returned'")
+
+
 def og_incidence(t: Tables) -> DataFrame:
     """(evidence_id, evidence_type, doc_id, page_id): which entity or relation is on which page."""
     m = og_mentions(t).select("doc_id", "page_id", "src_id", "tgt_id", "edge_id")

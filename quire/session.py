@@ -28,6 +28,7 @@ def get_session(app: str = "quire", master: str | None = None, **conf: object) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **{k: str(v) for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
