@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.functions.ids import page_evidence_id
-from quire.operators import align, canonical, cards, context, dedupe, expand, graphs, knn, pagerank, sparse
+from quire.functions.ids import entity_id, page_evidence_id
+from quire.functions.json import loose_object
+from quire.operators import align, answer, canonical, cards, context, dedupe, expand, graphs, knn, layout
+from quire.operators import pagerank, patch, render, sparse, stats, store
 from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
@@ -322,7 +324,7 @@ def hub_filtered_edges(t: Tables) -> DataFrame:
 
 @query
 def strong_edges(t: Tables) -> DataFrame:
-    return align.strong_edges(og.og_judged(t), og.og_edges(t)).select("edge_id", "src_id", "tgt_id", "confidence")
+    return align.strong_edges(og.og_judged(t), og.og_extracted_sample(t)).select("edge_id", "src_id", "tgt_id", "confidence")
 
 
 @query
@@ -354,3 +356,263 @@ def judge_decisions(t: Tables) -> DataFrame:
         "edge_id", "src_id", "tgt_id", "relation", "edge_type", "confidence",
         F.array_join(F.col("source_pages").cast("array<string>"), ",").alias("pages"),
     )
+
+
+# ---- layout --------------------------------------------------------------------------------
+
+
+@query
+def layout_components(t: Tables) -> DataFrame:
+    c = layout.block_components(og.document_pages(t))
+    return c.select("doc_id", "component_id", "type", "x0", "y0", "x1", "y1", "text_full", "role_hint", "ord")
+
+
+@query
+def page_texts(t: Tables) -> DataFrame:
+    p = og.document_pages(t)
+    return p.select("doc_id", "page_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.size("blocks").cast("bigint").alias("n_blocks"))
+
+
+@query
+def annotated_components(t: Tables) -> DataFrame:
+    c = layout.page_components(og.document_pages(t), merge=False)
+    near = [F.col("neighbours")[side].alias(side) for side in ("above", "below", "left", "right")]
+    return c.select("doc_id", "component_id", "position", *near)
+
+
+@query
+def merged_components(t: Tables) -> DataFrame:
+    c = layout.page_components(og.document_pages(t))
+    return c.select(
+        "doc_id", "component_id", "type", "x0", "y0", "x1", "y1", "merged",
+        F.size("block_ids").cast("bigint").alias("n_blocks"), F.md5(F.encode("text_full", "UTF-8")).alias("digest"),
+    )
+
+
+@query
+def component_manifests(t: Tables) -> DataFrame:
+    """Manifest of every document; list components count as saturated."""
+    c = layout.page_components(og.document_pages(t), merge=False)
+    sat = c.filter("type = 'list'").select("doc_id", "page_id", "component_id")
+    n = c.select("doc_id", "page_id", "component_id", (F.col("ord") % 4).alias("n_nodes"))
+    m = render.manifest_text(c.withColumn("caption", F.lit(None).cast("string")).drop("neighbours").withColumn("neighbours", F.create_map().cast("map<string,string>")), sat, n)
+    return m.select("doc_id", F.length("manifest").cast("bigint").alias("n_chars"), F.md5(F.encode("manifest", "UTF-8")).alias("digest"))
+
+
+# ---- extraction patches ----------------------------------------------------------------------
+
+
+def _patch(t: Tables):
+    ops, current, comps = og.og_patch(t)
+    kept, counters = patch.validate(ops, current, comps)
+    return materialize(kept, "valid-ops"), counters, current, comps
+
+
+@query
+def patch_counters(t: Tables) -> DataFrame:
+    _, counters, *_ = _patch(t)
+    return counters
+
+
+@query
+def patch_operations(t: Tables) -> DataFrame:
+    kept, *_ = _patch(t)
+    return kept.select(
+        "doc_id", "page_id", "op", "phase", "name", "src", "tgt", F.array_join("source_components", ",").alias("cites")
+    )
+
+
+def _applied(t: Tables):
+    kept, _, current, comps = _patch(t)
+    resolved = patch.resolve(kept, comps)
+    nodes = current.withColumn("entity_id", entity_id(F.col("doc_id"), F.col("name"))).withColumn(
+        "source_pages", F.array("page_id")
+    )
+    no_edges = resolved[1].limit(0).withColumn("ord", F.lit(0))
+    return patch.apply_patch(materialize(nodes, "page-nodes"), no_edges, resolved)
+
+
+@query
+def patched_nodes(t: Tables) -> DataFrame:
+    nodes, _ = _applied(t)
+    return nodes.select(
+        "doc_id", "page_id", "entity_id", "name", "entity_type", F.array_join("source_components", ",").alias("cites")
+    )
+
+
+@query
+def patched_edges(t: Tables) -> DataFrame:
+    _, edges = _applied(t)
+    return edges.select(
+        "doc_id", "page_id", "edge_id", "src_id", "tgt_id", "confidence", F.array_join("source_components", ",").alias("cites")
+    )
+
+
+@query
+def scorecards(t: Tables) -> DataFrame:
+    """Scorecards of every order page: its components, current entities, no relations."""
+    _, current, comps = og.og_patch(t)
+    c = comps.withColumns(
+        {"type": F.lit("paragraph"), "position": F.lit("upper-left"), "text_full": F.concat(F.lit("line "), "component_id"),
+         "caption": F.lit(None).cast("string"), "html": F.lit(None).cast("string"), "ord": F.lit(0)}
+    )
+    nodes = current.withColumns({"modality": F.lit("text"), "description": F.lit("")})
+    edges = nodes.limit(0).select(
+        "doc_id", "page_id", "source_components", "ord", F.lit("").alias("src_id"), F.lit("").alias("tgt_id"),
+        F.lit("").alias("relation"), F.create_map().cast("map<string,string>").alias("metadata"),
+    )
+    return render.scorecards(c, nodes, edges).select("doc_id", "page_id", "scorecard")
+
+
+@query
+def saturated_components(t: Tables) -> DataFrame:
+    sat, _ = _saturation(t)
+    return sat
+
+
+@query
+def saturation_log(t: Tables) -> DataFrame:
+    _, log = _saturation(t)
+    return log.select("doc_id", "page_id", "round", "component_id", "status", F.col("effect").alias("decision"))
+
+
+def _saturation(t: Tables):
+    """Reviews of document components from the events table: one round per event."""
+    comps = materialize(layout.page_components(og.document_pages(t)), "components")
+    reviews, counts = og.event_reviews(t, comps)
+    effects = patch.judge_reviews(reviews, comps, counts)
+    return patch.saturation(materialize(effects, "effects"))
+
+
+# ---- statistics ------------------------------------------------------------------------------
+
+
+def spans(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return t.events.select(
+        F.col("event_type").alias("stage"), F.col("user_id").cast("string").alias("run_id"), F.col("value").alias("elapsed_ms"),
+        k.alias("total_tokens"), F.lit(1).cast("bigint").alias("llm_calls"), (F.col("event_type") != "error").alias("ok"), "ts",
+    )
+
+
+@query
+def trace_rollup(t: Tables) -> DataFrame:
+    r = stats.rollup_trace(spans(t))
+    return r.select("stage", "calls", F.round("wall_ms", 2).alias("wall_ms"), "total_tokens", "llm_calls", "errors")
+
+
+@query
+def page_statistics(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    return stats.page_summary(nodes, edges, og.og_pages(t))
+
+
+@query
+def spread_histogram(t: Tables) -> DataFrame:
+    return stats.spread_histogram(og.og_nodes(t))
+
+
+@query
+def type_distributions(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    kinds = og.og_pages(t).select(F.lit("page").alias("evidence_type")).unionByName(
+        nodes.select(F.lit("entity").alias("evidence_type"))
+    ).unionByName(og.og_edges(t).select(F.lit("relation").alias("evidence_type")))
+    return stats.distributions(nodes, edges, kinds)
+
+
+@query
+def alignment_confidence(t: Tables) -> DataFrame:
+    c = stats.confidence_range(og.og_same_as(t))
+    return c.select("lo", F.round("mean", 6).alias("mean"), "hi", "n")
+
+
+@query
+def top_hubs(t: Tables) -> DataFrame:
+    nodes, edges = _graph(t)
+    return stats.top_hubs(nodes, edges)
+
+
+@query
+def entity_page_ranges(t: Tables) -> DataFrame:
+    return og.og_nodes(t).select("entity_id", stats.page_ranges(F.col("source_pages")).alias("ranges"))
+
+
+@query
+def round_differences(t: Tables) -> DataFrame:
+    """Turns of a conversation as rounds: words as nodes, roles with words as edges."""
+    words = F.array_distinct(F.split("text", r"\s+"))
+    snap = t.conversations.select(
+        F.lit("c").alias("doc_id"), F.col("conv_id").alias("page_id"), F.col("turn").alias("round_idx"),
+        words.alias("node_ids"), F.transform(words, lambda w: F.concat(F.col("role"), F.lit("/"), w)).alias("edge_keys"),
+    )
+    return stats.round_diff(snap)
+
+
+# ---- store and index ---------------------------------------------------------------------------
+
+
+@query
+def upserted_index(t: Tables) -> DataFrame:
+    """Document rows overwritten by label rows of the same id, page rows appended."""
+    base = t.documents.select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("payload"), F.lit(0).alias("batch"), F.col("doc_id").alias("pos"))
+    new = t.pages.select((F.col("page_id") * 7).alias("evidence_id"), F.col("url").alias("payload"), F.lit(1).alias("batch"), F.col("page_id").alias("pos"))
+    return store.upsert(base, new, "evidence_id")
+
+
+@query
+def graph_neighbours(t: Tables) -> DataFrame:
+    _, edges = _graph(t)
+    return store.neighbours(edges)
+
+
+@query
+def aligned_entities(t: Tables) -> DataFrame:
+    _, edges = _graph(t)
+    return store.aligned_entities(edges)
+
+
+@query
+def cascaded_deletes(t: Tables) -> DataFrame:
+    """Edges left after deleting the entities of the Brand#1 parts."""
+    nodes, edges = _graph(t)
+    doomed = nodes.filter(F.col("description").endswith("by Brand#1"))
+    _, left = store.delete_nodes(nodes, edges, doomed)
+    return left.select("edge_id", "src_id", "tgt_id", "relation")
+
+
+@query
+def relation_metadata(t: Tables) -> DataFrame:
+    _, edges = _graph(t)
+    ids = og.og_mentions(t).filter("l_discount >= 0.095").select("edge_id").distinct()
+    return store.relation_meta(edges, ids).select("edge_id", "src_id", "tgt_id", "relation", "confidence", "description")
+
+
+@query
+def communities(t: Tables) -> DataFrame:
+    return graphs.communities(og.og_same_as(t).select(F.col("src_id").alias("src"), F.col("tgt_id").alias("dst")))
+
+
+@query
+def crop_boxes(t: Tables) -> DataFrame:
+    """Crop rectangle of every part entity; boxes come from its line items."""
+    return cards.visual_crop_box(*og.og_boxes(t))
+
+
+# ---- replies -----------------------------------------------------------------------------------
+
+
+@query
+def loose_json_values(t: Tables) -> DataFrame:
+    v = loose_object(og.wrapped_props())
+    k = F.try_variant_get(v, "$.k", "bigint")
+    return t.events.select("event_id", k.alias("k"), (F.to_json(v) == "{}").alias("is_empty"))
+
+
+@query
+def parsed_answers(t: Tables) -> DataFrame:
+    a = answer.parse_answers(og.answer_replies(t))
+    return a.select(
+        "qid", F.md5(F.encode("text", "UTF-8")).alias("digest"), "confidence", "reasoning",
+        F.array_join(F.col("cited_pages").cast("array<string>"), ",").alias("cited"),
+    )

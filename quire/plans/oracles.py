@@ -590,7 +590,7 @@ oracle(
 SELECT edge_id, src_id, tgt_id, confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY least(src_id, tgt_id), greatest(src_id, tgt_id) ORDER BY confidence DESC, edge_id) AS rn
   FROM og_judged WHERE confidence >= 0.9) j
-WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM og_edges e WHERE least(e.src_id, e.tgt_id) = least(j.src_id, j.tgt_id)
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM og_edges e WHERE e.relation = 'is shipping returned' AND least(e.src_id, e.tgt_id) = least(j.src_id, j.tgt_id)
                              AND greatest(e.src_id, e.tgt_id) = greatest(j.src_id, j.tgt_id))""",
 )
 oracle(

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions.ids import align_edge_id, edge_id, entity_id
+from quire.operators.layout import LINES, layout_pages
+from quire.operators.patch import OPS
+from quire.schemas import contract
 
 
 class Tables:
@@ -254,3 +257,120 @@ def og_questions(t: Tables) -> DataFrame:
     """One question per benchmark item, with a query vector."""
     q = t.benchmark.select(F.col("item_id").alias("qid"), "text", (F.col("item_id") * 37 + 5).alias("vec_key"))
     return with_vectors(t, q, "vec_key").drop("vec_key")
+
+
+# ---- layout, patches and replies derived from the other tables ------------------------------
+
+
+def document_pages(t: Tables) -> DataFrame:
+    """Every document as one laid-out page: a block per non-empty line, types and boxes by rule."""
+
+    def block(x: Column, i: Column) -> Column:
+        kind = (
+            F.when(i % 13 == 7, "page_footer").when(i % 11 == 5, "image").when(i % 7 == 3, "list")
+            .when(F.length(x) < 40, "title").otherwise("text")
+        )
+        left, top = (i % 2 * 50).cast("double"), (i * 12 + i % 3).cast("double")
+        span = F.struct(F.lit("text").alias("type"), x.alias("content"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("string").alias("image_path"))
+        return F.struct(
+            i.cast("int").alias("index"), kind.alias("type"),
+            F.array(left, top, left + 100 + F.length(x) % 50, top + 10).alias("bbox"),
+            F.lit(None).cast("double").alias("score"),
+            F.array(F.struct(F.array(span).alias("spans"))).alias("lines"),
+            F.lit(None).cast(f"array<struct<lines:{LINES}>>").alias("blocks"),
+        )
+
+    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\s", "") != "")
+    blocks = F.transform(lines, block)
+    layout = F.array(
+        F.struct(F.array(F.lit(300.0), (F.size(lines) * 12 + 20).cast("double")).alias("page_size"), blocks.alias("preproc_blocks"))
+    )
+    return layout_pages(t.documents.select(F.col("doc_id").cast("string").alias("doc_id"), layout.alias("pdf_info")))
+
+
+def og_patch(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(operations, current nodes, components) of every order page.
+
+    Line numbers up to five are components. Accepted items already have their supplier on
+    the page, as a stub when the item is open; returned items replace it; every item adds
+    its part and a relation. Tax-free items cite nothing.
+    """
+    m = og_mentions(t).withColumn("cid", F.concat(F.lit("P"), F.col("l_linenumber").cast("string")))
+    m = m.withColumn("ord", F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
+    cites = F.when(F.col("l_tax") > 0, F.array("cid")).otherwise(F.array().cast("array<string>"))
+    base = dict(op=F.lit(""), phase=F.lit(0), seq=F.col("ord"), source_components=cites, modality=F.lit("text"), confidence=F.col("confidence"))
+    rows = m.withColumns(base)
+    adds = rows.withColumns({"op": F.lit("add_node"), "name": F.col("part_name"), "entity_type": F.lit("product")})
+    swaps = rows.filter("l_returnflag = 'R'").withColumns(
+        {"op": F.lit("replace_node"), "name": F.col("supplier_name"), "entity_type": F.lit("organization"), "source_components": F.array("cid")}
+    )
+    links = rows.withColumns({"op": F.lit("add_edge"), "src": F.col("supplier_name"), "tgt": F.col("part_name")})
+    key = ["doc_id", "page_id"]
+    parts = [d.select(*key, *contract(d if "relation" in d.columns and "src" in d.columns else d.drop("relation"), OPS)) for d in (adds, swaps, links)]
+    ops = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    current = m.filter("l_returnflag = 'A'").select(
+        *key, F.col("supplier_name").alias("name"),
+        F.when(F.col("l_linestatus") == "O", "entity").otherwise("organization").alias("entity_type"),
+        F.array("cid").alias("source_components"), "ord",
+    )
+    current = current.groupBy(*key, "name").agg(F.max_by(F.struct("entity_type", "source_components", "ord"), "ord").alias("v")).select(*key, "name", "v.*")
+    n = F.col("l_linenumber").cast("double")
+    comps = m.filter("l_linenumber <= 5").select(*key, F.col("cid").alias("component_id"), (n * 0).alias("x0"), (n * 10).alias("y0"), (n * 0 + 100).alias("x1"), (n * 10 + 8).alias("y1")).distinct()
+    return ops, current, comps
+
+
+def event_reviews(t: Tables, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Component reviews (one per event, on the document its id points at) and node counts."""
+    n_docs = t.documents.agg(F.count("*").alias("n_docs"))
+    status = (
+        F.when(F.col("event_type") == "view", "covered").when(F.col("event_type") == "click", "irrelevant")
+        .when(F.col("event_type") == "purchase", "partially_covered").when(F.col("event_type") == "error", "uncovered")
+        .otherwise("needs_visual_inspection")
+    )
+    ev = t.events.crossJoin(F.broadcast(n_docs)).select(
+        (F.col("event_id") % F.col("n_docs")).cast("string").alias("doc_id"), F.lit(1).cast("bigint").alias("page_id"),
+        (F.floor(F.col("event_id") / F.col("n_docs"))).alias("round"), F.col("event_id").alias("seq"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("P1")).otherwise("T1").alias("component_id"), status.alias("status"),
+        (F.col("user_id") % 5).alias("n_nodes"),
+    )
+    counts = ev.select("doc_id", "page_id", "round", "component_id", "n_nodes")
+    return ev.drop("n_nodes"), counts
+
+
+def og_boxes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Part entities with one box per line item, and page sizes."""
+    m = og_mentions(t)
+    q = F.col("l_quantity")
+    box = F.struct(
+        F.concat(F.lit("P"), F.col("l_linenumber").cast("string")).alias("component_id"),
+        F.struct(q.alias("x0"), q.alias("y0"), (q * 3 + F.col("l_linenumber")).alias("x1"), (q * 2 + 1).alias("y1")).alias("bbox"),
+        F.col("page_id"),
+    )
+    nodes = m.groupBy(F.col("tgt_id").alias("entity_id"), "doc_id").agg(F.array_sort(F.collect_set(box)).alias("bboxes")).withColumn("modality", F.lit("visual"))
+    pages = og_pages(t).select("doc_id", "page_id", F.lit(200).alias("mw"), F.lit(100).alias("mh"), F.lit(400).alias("rw"), F.lit(300).alias("rh"))
+    return nodes, pages
+
+
+def wrapped_props() -> Column:
+    """Event properties as a talkative model might return them."""
+    p, k = F.col("props"), F.col("event_id") % 5
+    return (
+        F.when(k == 0, p).when(k == 1, F.concat(F.lit("Result: "), p, F.lit(" done.")))
+        .when(k == 2, F.concat(F.lit("["), p, F.lit("]"))).when(k == 3, F.lit("no json here"))
+        .otherwise(F.concat(F.lit("["), p, F.lit(", "), p, F.lit("]")))
+    )
+
+
+def answer_replies(t: Tables) -> DataFrame:
+    """Conversation turns as model replies: plain text, JSON, fenced JSON, nested JSON."""
+    digest = F.md5(F.encode("text", "UTF-8"))
+    head = F.concat(
+        F.lit('{"answer": "'), digest, F.lit('", "confidence": "'), F.when(F.col("turn") % 3 == 0, "high").otherwise("sure"), F.lit('", ')
+    )
+    tail = F.lit('"reasoning": "because"}')
+    body = F.concat(head, F.lit('"cited_pages": ['), F.col("turn").cast("string"), F.lit(', "7", null, "x"], '), tail)
+    nested = F.concat(F.lit('{"answer": "{\\"answer\\": \\"'), digest, F.lit('\\", \\"confidence\\": \\"medium\\"}"}'))
+    k = F.col("turn") % 4
+    reply = F.when(k == 0, F.col("text")).when(k == 1, body).when(k == 2, F.concat(F.lit("```json\n"), head, tail, F.lit("\n```"))).otherwise(nested)
+    qid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role")
+    return t.conversations.select(qid.alias("qid"), reply.alias("reply"), F.array(F.col("turn") + 100).alias("default_pages"))
