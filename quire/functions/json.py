@@ -12,12 +12,24 @@ def _between(text: Column, opener: str, closer: str) -> Column:
     return F.when(cut != "", cut)
 
 
+def strict_json(text: Column) -> Column:
+    """The text as one JSON value, or null.
+
+    The parser stops at the end of the first value, so trailing text has to be ruled out:
+    a lone value, and nothing else, stays valid both as the only item of a list and as a
+    member of an object.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(items) == 1) & member.isNotNull(), F.get(items, F.lit(0)))
+
+
 def loose_json(text: Column) -> Column:
     """Whole text, else the outermost array, else the outermost object, else null."""
     return F.coalesce(
-        F.try_parse_json(text),
-        F.try_parse_json(_between(text, "[", "]")),
-        F.try_parse_json(_between(text, "{", "}")),
+        strict_json(text),
+        strict_json(_between(text, "[", "]")),
+        strict_json(_between(text, "{", "}")),
     )
 
 

@@ -110,9 +110,9 @@ _PATCH = {
                 LEFT JOIN cur c ON c.page_id = s.page_id AND c.key = s.key""",
     "fate": "SELECT *, CASE WHEN fresh AND turn = 1 THEN 'demote' WHEN fresh OR old = 'organization' THEN 'drop' ELSE 'keep' END AS f FROM swaps",
     "known0": """
-        SELECT page_id, key, sc, -1 AS tier, -ord AS at FROM fate WHERE f = 'keep' UNION ALL SELECT page_id, key, sc, 0, -ord FROM cur
+        SELECT page_id, key, sc, -1 AS tier, -ord AS at_ FROM fate WHERE f = 'keep' UNION ALL SELECT page_id, key, sc, 0, -ord FROM cur
         UNION ALL SELECT page_id, key, sc, 1, ord FROM adds UNION ALL SELECT page_id, key, sc, 2, ord FROM fate WHERE f = 'demote'""",
-    "known": "SELECT page_id, key, sc FROM (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY tier, at) AS rn FROM known0) WHERE rn = 1",
+    "known": "SELECT page_id, key, sc FROM (SELECT *, row_number() OVER (PARTITION BY page_id, key ORDER BY tier, at_) AS rn FROM known0) WHERE rn = 1",
     "valid": "SELECT page_id, list(DISTINCT cid) AS v FROM m WHERE hit GROUP BY page_id",
     "edges0": """
         SELECT m.*, lower(supplier_name) AS sk, lower(part_name) AS tk, s.key IS NOT NULL AS sknown, t.key IS NOT NULL AS tknown,
