@@ -67,7 +67,7 @@ class Workspace:
         out.close()
 
     def read_json(self, name: str) -> dict[str, Any]:
-        text = self.spark.read.option("wholetext", True).text(self.path(name)).first()[0]
+        text = self.spark.read.text(self.path(name), wholetext=True).first()[0]
         return json.loads(text)
 
     # ---- particular tables ---------------------------------------------------------

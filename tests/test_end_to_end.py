@@ -64,7 +64,7 @@ def answer_model(prompt, images):
 
 
 @pytest.fixture(scope="module")
-def run(spark, tmp_path_factory):
+def recipe(tmp_path_factory):
     base = tmp_path_factory.mktemp("run")
     data = base / "data"
     data.mkdir()
@@ -75,7 +75,13 @@ def run(spark, tmp_path_factory):
         "extends: [base.yaml, encoder.mock.yaml, llm.mock.yaml]\n"
         f"dataset: {{name: t, data_dir: '{data}', work_dir: '{base / 'work'}'}}\ningest: {{parser: mineru}}\n"
     )
-    cfg = config.load(recipe, {"query.qgge.rounds": "2", "kg.extract.max_rounds": "3"})
+    return base, recipe
+
+
+@pytest.fixture(scope="module")
+def run(spark, recipe):
+    base, recipe = recipe
+    cfg = config.load(recipe, {"query.qgge.rounds": "2", "kg.extract.max_rounds": "2"})
     llm = FunctionCompletion(answer_model)
     build = Build(spark, cfg, llm=llm)
     build.run(["ingest", "augment", "extract", "align", "cards", "embed", "index", "retrieval_graph"])
@@ -138,15 +144,15 @@ def test_precomputed_vectors_match(spark, run):
     assert Workspace(spark, cfg.dataset.work_dir).load("node_vectors").count() == 5
 
 
-def test_failed_calls_are_recorded(spark, run):
-    base, recipe, _, _ = run
+def test_failed_calls_are_recorded(spark, recipe):
+    base, recipe = recipe
 
     def broken(prompt, images):
         if "page 2" in prompt:
             raise ValueError("no answer")
         return answer_model(prompt, images)
 
-    cfg = config.load(recipe, {"dataset.work_dir": str(base / "work2"), "augment.page_summary.enabled": "false"})
+    cfg = config.load(recipe, {"dataset.work_dir": str(base / "work2"), "augment.page_summary.enabled": "false", "kg.extract.max_rounds": "1"})
     b = Build(spark, cfg, llm=FunctionCompletion(broken))
     b.run(["ingest", "extract"])
     failures = Workspace(spark, cfg.dataset.work_dir).read_json(cfg.obs.manifest_path)["failures"]
@@ -157,8 +163,8 @@ def test_failed_calls_are_recorded(spark, run):
         config.load(recipe, {"query.nonsense": "1"})
 
 
-def test_missing_graph(spark, run):
-    base, recipe, _, _ = run
+def test_missing_graph(spark, recipe):
+    base, recipe = recipe
     cfg = config.load(recipe, {"dataset.work_dir": str(base / "nowhere"), "query.propagation": "ppr"})
     with pytest.raises(StageError):
         Artifacts.load(spark, cfg)
