@@ -103,15 +103,17 @@ def bounded_bfs(
     node's neighbours can be visited already, so its first ``2 * max_nodes`` neighbours
     always contain every one the cap can admit: hubs are pruned map-side, exactly.
     """
-    links = edges.select("src", "dst").distinct()
-    adj = materialize(top_per_group(links, ["src"], ["dst"], 2 * max(max_nodes, 1)).drop("_n"), "bfs-adj")
+    links = edges.select("src", "dst")
     seen = materialize(seeds.select("qid", "node").distinct().withColumn("depth", F.lit(0)), "bfs")
     if max_nodes <= 0:
         return seen.limit(0)
     frontier = seen
     for depth in range(1, max_depth + 1):
+        # Only links out of the frontier are looked at, and of those only the useful ones.
+        fresh = links.join(frontier.select(F.col("node").alias("src")).distinct(), "src", "left_semi").distinct()
+        adj = top_per_group(fresh, ["src"], ["dst"], 2 * max_nodes).drop("_n")
         reach = (
-            frontier.join(adj, frontier.node == adj.src)
+            frontier.select("qid", F.col("node").alias("src")).join(adj, "src")
             .select("qid", F.col("dst").alias("node"))
             .distinct()
             .join(seen.select("qid", "node"), ["qid", "node"], "left_anti")

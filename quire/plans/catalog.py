@@ -11,10 +11,11 @@ from quire.functions import text
 from quire.functions.ids import entity_id, page_evidence_id
 from quire.functions.json import loose_object
 from quire.operators import align, answer, canonical, cards, context, dedupe, expand, graphs, knn, layout
-from quire.operators import pagerank, patch, render, sparse, stats, store
+from quire.operators import pagerank, patch, render, stats, store
 from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
+from quire.providers.models import HashedEncoder
 from quire.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,9 +249,10 @@ def compacted_documents(t: Tables) -> DataFrame:
 @query
 def hashed_text_search(t: Tables) -> DataFrame:
     """Best documents for every benchmark text under the hashed bag-of-words encoder."""
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    asks = t.benchmark.select(F.col("item_id").alias("qid"), "text")
-    return sparse.topk(asks, docs, 5, dim=256).select("qid", "id", "score", "rank")
+    words = HashedEncoder(256, normalize=False)
+    docs = t.documents.select(F.col("doc_id").alias("id"), words.vector(F.col("text")).alias("vector"))
+    asks = t.benchmark.select(F.col("item_id").alias("qid"), words.vector(F.col("text")).alias("vector"))
+    return knn.topk(asks, docs, 5).select("qid", "id", "score", "rank")
 
 
 # ---- graph clean-up ----------------------------------------------------------------------
