@@ -91,6 +91,7 @@ def _anchors(t: Tables, vectors: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def _expanded(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    og.store_mentions(t)
     vectors = materialize(og.og_card_vectors(t), "card-vectors")
     questions = materialize(og.og_questions(t), "questions")
     anchors = _anchors(t, vectors, questions)
@@ -146,6 +147,7 @@ def reranked_pages(t: Tables) -> DataFrame:
 
 def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Relations of the order graph plus part-to-part same_as links."""
+    og.store_mentions(t)
     nodes = og.og_nodes(t)
     return nodes, og.og_edges(t).drop("vec_key").unionByName(og.og_same_as(t))
 
@@ -331,6 +333,7 @@ def strong_edges(t: Tables) -> DataFrame:
 
 @query
 def rescued_edges(t: Tables) -> DataFrame:
+    og.store_mentions(t)
     kept = align.rescue(og.og_judged(t), og.og_nodes(t), og.og_extracted_sample(t))
     return align.first_per_link(kept).select("edge_id", "src_id", "tgt_id", "relation", "confidence", "kept_as")
 
@@ -405,6 +408,7 @@ def component_manifests(t: Tables) -> DataFrame:
 
 
 def _patch(t: Tables):
+    og.store_mentions(t)
     ops, current, comps = og.og_patch(t)
     kept, counters = patch.validate(ops, current, comps)
     return materialize(kept, "valid-ops"), counters, current, comps

@@ -15,6 +15,7 @@ from quire.functions.ids import align_edge_id, edge_id, entity_id
 from quire.operators.layout import LINES, layout_pages
 from quire.operators.patch import OPS
 from quire.schemas import contract
+from quire.session import materialize
 
 
 SMALL_FILE, LARGE_FILE = 256 << 10, 64 << 20
@@ -31,6 +32,7 @@ class Tables:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._known: dict[str, tuple[StructType, bool]] = {}
+        self._stored: DataFrame | None = None
 
     def _look_up(self, file: str) -> tuple[StructType, bool]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(file)
@@ -80,8 +82,16 @@ def relation_name() -> Column:
     return F.when(F.col("l_linestatus") == "F", F.concat(head, F.lit(" finally"))).otherwise(head)
 
 
+def store_mentions(t: Tables) -> None:
+    """Write the mentions once for plans that derive several tables from them."""
+    if t._stored is None:
+        t._stored = materialize(og_mentions(t), "mentions")
+
+
 def og_mentions(t: Tables) -> DataFrame:
     """One row per line item with its page, its two entities and its relation."""
+    if t._stored is not None:
+        return t._stored
     pages = og_pages(t).select("doc_id", "page_id", "region_key")
     part = t.part.select(
         F.col("p_partkey").alias("l_partkey"),
@@ -100,7 +110,8 @@ def og_mentions(t: Tables) -> DataFrame:
         .withColumn("relation", relation_name())
         .withColumn("confidence", F.round(1 - F.col("l_discount"), 2))
     )
-    return rows.withColumn("edge_id", edge_id(F.col("doc_id"), F.col("src_id"), F.col("tgt_id"), F.col("relation")))
+    rows = rows.withColumn("edge_id", edge_id(F.col("doc_id"), F.col("src_id"), F.col("tgt_id"), F.col("relation")))
+    return rows.drop("page_id", "l_extendedprice", "l_shipdate").withColumnRenamed("l_orderkey", "page_id")
 
 
 def og_mention_nodes(t: Tables) -> DataFrame:
