@@ -81,6 +81,15 @@ def _run(a: argparse.Namespace) -> int:
         print(f"# hash: {cfg.hash()}")
         return 0
     spark = _spark()
+    try:
+        return _on_spark(a, cfg, spark)
+    finally:
+        from quire.session import drop_work_tables
+
+        drop_work_tables(spark)
+
+
+def _on_spark(a: argparse.Namespace, cfg: config.Config, spark) -> int:
     from quire.plans.build import Build
 
     if a.command == "build":

@@ -34,9 +34,9 @@ def page_summary(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFr
 def spread_histogram(nodes: DataFrame) -> DataFrame:
     """How many nodes occur on 1, 2, ... pages, with the share of multi-page nodes."""
     h = nodes.groupBy(F.size("source_pages").alias("n_pages")).agg(F.count("*").alias("nodes"))
-    total = h.agg(F.sum("nodes").alias("t"), F.sum(F.when(F.col("n_pages") > 1, F.col("nodes")).otherwise(0)).alias("m"))
-    share = F.round(100.0 * F.col("m") / F.greatest("t", F.lit(1)), 1)
-    return h.crossJoin(F.broadcast(total)).select("n_pages", "nodes", share.alias("multi_page_pct"))
+    many = F.sum(F.when(F.col("n_pages") > 1, F.col("nodes")).otherwise(0))
+    share = h.agg(F.round(100.0 * many / F.greatest(F.sum("nodes"), F.lit(1)), 1))
+    return h.withColumn("multi_page_pct", share.scalar())
 
 
 def distributions(nodes: DataFrame, edges: DataFrame, cards: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def og_same_as(t: Tables) -> DataFrame:
     0.8. Some links name a part that no page of the document mentions.
     """
     n_parts = t.part.agg(F.count("*").alias("n_parts"))
-    m = og_mentions(t).filter("l_discount >= 0.095 AND l_tax >= 0.065").crossJoin(F.broadcast(n_parts))
+    m = og_mentions(t).filter("l_discount >= 0.095 AND l_tax >= 0.065").withColumn("n_parts", n_parts.scalar())
     nxt = t.part.select(
         F.col("p_partkey").alias("next_key"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("next_name")
     )
@@ -253,7 +253,7 @@ def with_vectors(t: Tables, df: DataFrame, key: str) -> DataFrame:
     a = e.select(F.col("vec_id").alias("i_a"), F.col("v").alias("v_a"))
     b = e.select(F.col("vec_id").alias("i_b"), F.col("v").alias("v_b"))
     keyed = (
-        df.crossJoin(F.broadcast(n))
+        df.withColumn("n_vec", n.scalar())
         .withColumn("i_a", F.col(key) % F.col("n_vec"))
         .withColumn("i_b", (F.floor(F.col(key) / F.col("n_vec")) + 1) % F.col("n_vec"))
     )
@@ -354,7 +354,7 @@ def event_reviews(t: Tables, components: DataFrame) -> tuple[DataFrame, DataFram
         .when(F.col("event_type") == "purchase", "partially_covered").when(F.col("event_type") == "error", "uncovered")
         .otherwise("needs_visual_inspection")
     )
-    ev = t.events.crossJoin(F.broadcast(n_docs)).select(
+    ev = t.events.withColumn("n_docs", n_docs.scalar()).select(
         (F.col("event_id") % F.col("n_docs")).cast("string").alias("doc_id"), F.lit(1).cast("bigint").alias("page_id"),
         (F.floor(F.col("event_id") / F.col("n_docs"))).alias("round"), F.col("event_id").alias("seq"),
         F.when(F.col("user_id") % 2 == 0, F.lit("P1")).otherwise("T1").alias("component_id"), status.alias("status"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,17 +43,24 @@ def work_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
     back to a private temporary folder, since there executors share the machine.
     """
+    app = spark.sparkContext.applicationId
     root = spark.conf.get(_ROOT_KEY, None) or spark.sparkContext.getConf().get(_ROOT_KEY)
     if root:
-        return root.rstrip("/")
+        return f"{root.rstrip('/')}/quire-{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_ROOT_KEY} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call when its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
