@@ -602,7 +602,8 @@ def communities(t: Tables) -> DataFrame:
 @query
 def crop_boxes(t: Tables) -> DataFrame:
     """Crop rectangle of every part entity; boxes come from its line items."""
-    return cards.visual_crop_box(*og.og_boxes(t))
+    box = cards.visual_crop_box(*og.og_boxes(t))
+    return box.select("entity_id", "doc_id", "page_id", *[F.round(c, 6).alias(c) for c in ("cx0", "cy0", "cx1", "cy1")])
 
 
 # ---- replies -----------------------------------------------------------------------------------

@@ -303,8 +303,8 @@ oracle(
 oracle(
     "crop_boxes",
     """
-SELECT tgt_id AS entity_id, doc_id, page_id, greatest(0, x0 * 2 - (x1 - x0) * 2 * 0.06::DOUBLE) AS cx0, greatest(0, y0 * 3 - (y1 - y0) * 3 * 0.06::DOUBLE) AS cy0,
-       least(400, x1 * 2 + (x1 - x0) * 2 * 0.06::DOUBLE) AS cx1, least(300, y1 * 3 + (y1 - y0) * 3 * 0.06::DOUBLE) AS cy1
+SELECT tgt_id AS entity_id, doc_id, page_id, round(greatest(0, x0 * 2 - (x1 - x0) * 2 * 0.06::DOUBLE), 6) AS cx0, round(greatest(0, y0 * 3 - (y1 - y0) * 3 * 0.06::DOUBLE), 6) AS cy0,
+       round(least(400, x1 * 2 + (x1 - x0) * 2 * 0.06::DOUBLE), 6) AS cx1, round(least(300, y1 * 3 + (y1 - y0) * 3 * 0.06::DOUBLE), 6) AS cy1
 FROM (SELECT *, row_number() OVER (PARTITION BY tgt_id ORDER BY (x1 - x0) * (y1 - y0) DESC, cid, x0, y0, x1, y1, page_id) AS rn
       FROM (SELECT tgt_id, doc_id, page_id, 'P' || l_linenumber AS cid, l_quantity AS x0, l_quantity AS y0, l_quantity * 3 + l_linenumber AS x1, l_quantity * 2 + 1 AS y1 FROM og_mentions))
 WHERE rn = 1 AND (least(400, x1 * 2 + (x1 - x0) * 2 * 0.06::DOUBLE) - greatest(0, x0 * 2 - (x1 - x0) * 2 * 0.06::DOUBLE)) *
