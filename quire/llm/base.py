@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import work_root
 
@@ -28,6 +29,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns under numbers, as a task that reads them by position needs no names."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def added(df: DataFrame, names: list[str], *fields: T.StructField) -> T.StructType:
+    """Schema of the named columns followed by new fields."""
+    kinds = {f.name: f for f in reversed(df.schema.fields)}
+    return T.StructType([kinds[n] for n in names] + list(fields))
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

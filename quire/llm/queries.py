@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.base import table
+from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
 from quire.llm.mixing import MIX_SQL, mix
 
@@ -17,5 +20,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_exact_dedup)}
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = Tokenizer(public_tokenizers.path(VOCABULARY))
+    coded = tokenizer.encode(table(spark, sf_dir).select("doc_id", "text"))
+    hexed = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return tokenizer.decode(coded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        hexed(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hexed(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op9_exact_dedup": EXACT_SQL}
