@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.llm.base import table
 from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
+from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.mixing import MIX_SQL, mix
 
 
@@ -16,6 +17,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
@@ -34,5 +39,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_exact_dedup, op10_bpe)}
-ORACLES = {"op2_mixing": MIX_SQL, "op9_exact_dedup": EXACT_SQL}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op9_exact_dedup, op10_bpe)}
+ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
