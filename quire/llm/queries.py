@@ -11,6 +11,11 @@ from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
 from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.mixing import MIX_SQL, mix
+from quire.llm.pii import digest, find_disclosures
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_disclosures(table(spark, sf_dir)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +44,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
