@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.llm.base import table
 from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
+from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.mixing import MIX_SQL, mix
 from quire.llm.pii import digest, find_disclosures
@@ -26,6 +27,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return identify(rows, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
@@ -44,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op7_language, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
