@@ -12,6 +12,7 @@ from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
 from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.mixing import MIX_SQL, mix
+from quire.llm.partenum import similar_documents
 from quire.llm.pii import digest, find_disclosures
 
 
@@ -27,6 +28,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
@@ -51,5 +56,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op7_language, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op6_ngram_join, op7_language, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
