@@ -11,6 +11,7 @@ from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
 from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
+from quire.llm.line_dedup import without_common_blocks
 from quire.llm.mixing import MIX_SQL, mix
 from quire.llm.partenum import similar_documents
 from quire.llm.pii import digest, find_disclosures
@@ -38,6 +39,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_common_blocks(table(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", "n_partners", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
@@ -56,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op6_ngram_join, op7_language, op9_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
