@@ -48,6 +48,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
+from quire.llm.repeats import without_repeats
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -63,5 +64,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
