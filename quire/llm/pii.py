@@ -168,10 +168,9 @@ def find_disclosures(docs: DataFrame, *, keep_text: bool = False, min_support: i
     forms = F.array(*[F.when(whole().rlike(rule), F.xxhash64(F.lit(f"#{name}"))) for name, rule in HOLDS.items()])
     terms = own.select(F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.xxhash64(F.lower(w))), forms))).alias("t"))
     of_term = terms.filter("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n_t"))
-    wanted = of_term.join(pairs.select("t").distinct(), "t", "left_semi")
     total = found.agg(F.count("*").alias("n")).first()["n"]
     # what the pair tells against what the entity holds
-    known = pairs.join(of_entity, "entity").join(wanted, "t", "left").withColumn(
+    known = pairs.join(of_entity, "entity").join(of_term, "t", "left").withColumn(
         "told", F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest(F.coalesce("n_t", "n_et"), "n_et")))
     )
     disclosing = scratch.write(known.filter(F.col("told") >= share * F.log(F.lit(float(total)) / F.col("n_e"))).select("entity", "t"), "disclosing")
