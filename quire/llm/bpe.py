@@ -8,8 +8,8 @@ state, and that state differs from the target of the token's right half, as it w
 token was born, only by the arcs that later gadgets took away. This difference is all that is
 stored: ``left``, ``right``, ``born`` for each token and ``lost`` for each arc taken away.
 
-A word is encoded in one pass over its bytes: for every prefix, the automaton's state after the
-prefix's only accepted token sequence; a table of arcs, filled as words need them, drives it.
+A word is encoded by walking the automaton along its bytes; a table of arcs, filled as words
+need them, drives it.
 The work is linear in the word, also for words of many thousand bytes.
 """
 
@@ -32,8 +32,10 @@ from quire.llm.base import added, numbered, pick
 #: Fixed value: the byte-level pre-split pattern; {L} letter, {N} number, {O} neither these nor white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
 #: A worker's tables of words and arcs are emptied when they reach these sizes.
-MAX_WORDS, MAX_ARCS = 300_000, 1_500_000
+MAX_WORDS, MAX_ARCS = 400_000, 1_000_000
 START = -1
+#: Where a node of the byte trie keeps its token.
+TOKEN = -1
 
 
 def byte_characters() -> list[str]:
@@ -51,7 +53,7 @@ class Automaton:
 
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], first: list[int], special: dict[str, int]) -> None:
         """``merges``: (a, b, ab) ids in order; ``first``: ids of the 256 bytes."""
-        self.labels, self.special = labels, special
+        self.labels, self.special, self.size = labels, special, [len(b) for b in labels]
         n = len(labels)
         self.left, self.right, self.born = [START] * n, [START] * n, [START] * n
         self.lost: dict[int, int] = {}
@@ -64,17 +66,25 @@ class Automaton:
                 self.left[ab], self.right[ab], self.born[ab] = a, b, rank
                 self.lost[a << 32 | b] = rank
                 live.add(ab)
-        # the byte trie of all live tokens: (node, byte) -> node, node -> token
-        self.step: dict[int, int] = {}
-        self.token = [START]
-        for t in sorted(live):
-            node = 0
-            for byte in labels[t]:
-                key = node << 8 | byte
-                node = self.step.setdefault(key, len(self.token))
-                if node == len(self.token):
-                    self.token.append(START)
-            self.token[node] = t
+        self.live = sorted(live)
+        self.longest = max(self.size)
+        self._trie()
+
+    def _trie(self) -> None:
+        """The byte trie of all live tokens: nested tables by byte, the token itself under TOKEN."""
+        self.root: dict[int, dict] = {}
+        for t in self.live:
+            node = self.root
+            for byte in self.labels[t]:
+                node = node.setdefault(byte, {})
+            node[TOKEN] = t
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("root", "arcs")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, arcs={})
+        self._trie()
 
     def _arc(self, p: int, x: int) -> bool:
         """Whether the state after token ``p`` has an arc ``x``, by the history of its gadgets."""
@@ -94,31 +104,55 @@ class Automaton:
                 at, p = min(at, bp), self.right[p]
 
     def encode(self, word: bytes) -> list[int]:
-        n, arcs, step, token = len(word), self.arcs, self.step, self.token
+        """The only token sequence of a word that the automaton accepts.
+
+        The longest token that has an arc is tried first. All paths to a place of the word end in
+        the same token, as the prefix up to there is accepted in one way only, so a place that
+        leads nowhere is never tried twice and the search is linear in the word.
+        """
+        n, arcs, root = len(word), self.arcs, self.root
         if len(arcs) > MAX_ARCS:
             arcs.clear()
-        last = [START] * (n + 1)  # the last token of each prefix
-        for j in range(n):
-            p, node = last[j], 0
-            for i in range(j, n):
-                node = step.get(node << 8 | word[i], -1)
-                if node < 0:
+        path: list[int] = []
+        ends: list[int] = []
+        tries: list[list[int]] = []  # at each place of the path: tokens left to try, longest last
+        dead: set[int] = set()
+        at, p = 0, START
+        while at < n:
+            node, found = root, []
+            for byte in word[at : at + self.longest]:
+                node = node.get(byte)
+                if node is None:
                     break
-                x = token[node]
-                if x < 0 or last[i + 1] >= 0:
+                x = node.get(TOKEN)
+                if x is not None:
+                    found.append(x)
+            while True:
+                while found:
+                    x = found.pop()
+                    if p >= 0:
+                        ok = arcs.get(p << 32 | x)
+                        if ok is None:
+                            ok = arcs[p << 32 | x] = self._arc(p, x)
+                        if not ok:
+                            continue
+                    end = at + self.size[x]
+                    if end not in dead:
+                        break
+                else:
+                    # nothing goes on from here: one token back
+                    dead.add(at)
+                    path.pop()
+                    ends.pop()
+                    found = tries.pop()
+                    at, p = (ends[-1], path[-1]) if path else (0, START)
                     continue
-                if p >= 0:
-                    ok = arcs.get(p << 32 | x)
-                    if ok is None:
-                        ok = arcs[p << 32 | x] = self._arc(p, x)
-                    if not ok:
-                        continue
-                last[i + 1] = x
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+                break
+            path.append(x)
+            ends.append(end)
+            tries.append(found)
+            at, p = end, x
+        return path
 
     def decode(self, ids: list[int]) -> str:
         labels, n = self.labels, len(self.labels)
@@ -175,7 +209,7 @@ class Tokens:
 
     def __init__(self, automaton: Automaton, unlike: str) -> None:
         self.automaton, self.words = automaton, _Words(automaton)
-        self.pattern, self.exact, self.odd = splitter(""), splitter(unlike), unlike and regex.compile(f"[{regex.escape(unlike)}]")
+        self.pattern, self.exact, self.odd = splitter(""), splitter(unlike), frozenset(unlike)
         marks = sorted(automaton.special, key=len, reverse=True)
         self.marks = marks and regex.compile("(" + "|".join(map(regex.escape, marks)) + ")")
 
@@ -191,10 +225,18 @@ class Tokens:
         return b"".join(out)
 
     def _words(self, text: str) -> bytes:
-        pattern = self.exact if self.odd and not text.isascii() and self.odd.search(text) else self.pattern
+        pattern = self.pattern if _latin(text) or self.odd.isdisjoint(text) else self.exact
         return b"".join(map(self.words.__getitem__, pattern.findall(text)))
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below 256, where all versions of the tables agree."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class _Words(dict):
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
@@ -238,8 +280,8 @@ class Tokenizer:
         def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _tokens(packed)
             for batch in texts:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
                     coded = [own.encode(t or "") for t in part.column(0).to_pylist()]
                     ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
@@ -257,8 +299,10 @@ class Tokenizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _tokens(packed).automaton
             for batch in batches:
-                made = [own.decode([i for i in x if i is not None] if x else []) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=names)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    made = [own.decode([i for i in x if i is not None] if x else []) for x in part.column(0).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=names)
 
         rest = [c for c in coded.columns if c not in (text, ids)]
         names = [ids, *rest, text]
