@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.llm.base import table
 from quire.llm.bpe import Tokenizer
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
+from quire.llm.forest import NEAR_SQL, near_vectors
 from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.line_dedup import without_common_blocks
@@ -64,11 +65,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
-ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op9_exact_dedup": EXACT_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op4_near_vectors, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
+ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op4_near_vectors": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}
