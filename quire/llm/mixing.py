@@ -70,7 +70,7 @@ def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = 7, weight: Column | None = None,
     whole_documents: bool = False,
 ) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
+    """(row, doc_id, tie, source, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
 
     ``taken`` counts the words that the mix takes: ``floor(target / source_size)`` whole epochs,
     then documents in key order until the rest of the target is used; the last of them gives the
@@ -124,7 +124,7 @@ def mix(
         "part", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0))
     )
     return full.unionByName(inside.withColumn("part", part)).select(
-        "row", "doc_id", "source", "size", "source_size", "target",
+        "row", "doc_id", "tie", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
     )
 
