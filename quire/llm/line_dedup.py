@@ -144,7 +144,8 @@ def without_common_blocks(docs: DataFrame, *, rare: int = RARE, min_chars: int =
     lines = F.split(whole(), "\n", -1)
     stay = F.filter(lines, lambda line, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i <= g["last"])))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return own.join(found, "k", "left").select(
+    # never broadcast: what was found grows with the documents, and texts move once at every size
+    return own.join(found.hint("merge"), "k", "left").select(
         "doc_id", F.when(F.col("gone").isNull(), whole()).otherwise(F.array_join(stay, "\n")).alias("text"), n.cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(n - F.size(stay)).cast("long").alias("n_removed"),
         F.coalesce("partners", F.lit(0)).cast("long").alias("n_partners"),
