@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ from quire.operators.graphs import connected_components
 
 #: Similarity threshold in percent, and words of a shingle.
 PERCENT, WORDS = 90, 3
-#: Below so many differences subsets of two of three partitions are enumerated, from there on single partitions.
+#: Where partitions hold fewer elements on average, subsets of two of three of them are enumerated, else single ones.
 SUBSETS_BELOW = 8
 #: Bits of the sketch that holds, for each cell, whether an odd number of elements falls into it.
 SKETCH = 1024
 #: Signatures that one bucket of the exchange holds on average; members of a signature that are compared as one block.
 BUCKET, BLOCK = 1_000_000, 2048
+#: Passes over the text, each for one range of signatures: what is on disk at once is a fixed fraction of the text.
+PASSES = 3
 
 
 @cache
@@ -59,9 +62,10 @@ def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     np.cumsum(mix(u, 7), out=total[1:])
     high = (u >> U(32)).astype(np.int64)
     out = []
-    for instance, k in ((number, differences(top, percent)), (number + 1, differences(above, percent))):
+    for instance, last in ((number, top), (number + 1, above)):
+        k = differences(last, percent)
         # a partition is a range of hashes, so it is a stretch of the sorted set
-        few = 0 < k < SUBSETS_BELOW
+        few = 0 < k and last < SUBSETS_BELOW * (k + 2)
         parts = 1 if k == 0 else 3 * ((k + 2) // 2) if few else k + 2
         cut = np.searchsorted(high * parts >> 32, np.arange(parts + 1))
         sums = total[cut[1:]] - total[cut[:-1]]
@@ -83,51 +87,66 @@ def sketch(u: np.ndarray) -> bytes:
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
-DOCS = "row long, doc_id long, n long, cid long, cid2 long, sketch binary, bucket int, packed binary"
-_KIND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()),
-                   ("sketch", pa.binary()), ("bucket", pa.int32()), ("packed", pa.binary())])
+DOCS = "row long, doc_id long, n long, cid long, cid2 long, sketch binary"
+_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
+SIGNED = "bucket int, packed binary"
 
 
-def _describe(words: int, percent: int, buckets: int):
-    """(row, doc_id, text) -> one row per document, and packed (signature, class) pairs by bucket."""
+def class_of(u: np.ndarray, salt: int = 21) -> int:
+    """64 bits that stand for a set; a second salt gives 64 more."""
+    return int(mix(u, salt).sum().view(np.int64))
 
-    def packed(sig: list[np.ndarray], cid: list[int]) -> Iterator[pa.RecordBatch]:
+
+def _describe(words: int):
+    """(row, doc_id, text) -> what is known of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(2).to_pylist():
+                u = shingle_set(text or "", words)
+                made.append((len(u), class_of(u), class_of(u, 22), sketch(u)) if len(u) else (0, None, None, None))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], schema=_DOC)
+
+    return run
+
+
+def _sign(words: int, percent: int, part: int, passes: int, buckets: int):
+    """(text) -> packed (signature, class) pairs by bucket, for one range of signatures."""
+    low, step = part * (2**64 // passes), 2**64 // passes
+
+    def packed(sig: list[np.ndarray], cid: list[int]) -> pa.RecordBatch:
         s = np.concatenate(sig)
         both = np.stack([s, np.repeat(np.array(cid, np.int64).view(np.uint64), [len(x) for x in sig])], 1)
-        at = ((s >> U(32)) * U(buckets)) >> U(32)
+        at = np.minimum(((s - U(low)) >> U(32)) // U(max(1, (step >> 32) // buckets)), U(buckets - 1))
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(buckets + 1))
         own = [k for k in range(buckets) if ends[k] < ends[k + 1]]
         blobs = [both[order[ends[k] : ends[k + 1]]].tobytes() for k in own]
-        none = [pa.nulls(len(own), f.type) for f in _KIND][:6]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], schema=_KIND)
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # signatures gather until a few MB are together; a class gives them once in that time
         sig, cids, seen, held = [], [], set(), 0
         for batch in batches:
-            made = []
-            for text in batch.column(2).to_pylist():
-                u = shingle_set(text or "", words)
-                if not len(u):
-                    made.append((0, None, None, None))
-                    continue
-                cid, cid2 = (int(mix(u, k).sum().view(np.int64)) for k in (21, 22))
-                made.append((len(u), cid, cid2, sketch(u)))
-                if cid not in seen:
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    u = shingle_set(text or "", words)
+                    cid = class_of(u)
+                    if not len(u) or cid in seen:
+                        continue
                     seen.add(cid)
                     own = signatures(u, percent)
+                    own = own[(own >= U(low)) & (own - U(low) < U(step) if part < passes - 1 else True)]
                     sig.append(own)
                     cids.append(cid)
                     held += len(own)
                 if held >= 500_000:
-                    yield from packed(sig, cids)
+                    yield packed(sig, cids)
                     sig, cids, seen, held = [], [], set(), 0
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*made), list(_KIND)[2:6])] if made else [pa.nulls(0, f.type) for f in list(_KIND)[2:6]]
-            rest = [pa.nulls(len(made), pa.int32()), pa.nulls(len(made), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, *rest], schema=_KIND)
         if sig:
-            yield from packed(sig, cids)
+            yield packed(sig, cids)
 
     return run
 
@@ -189,7 +208,13 @@ def _compare(percent: int, nearest: bool):
     return run
 
 
-def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cells whose parity differs: the sets differ in at least so many elements."""
+    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
+    return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int64))
+
+
+def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, passes: int = PASSES, bucket: int = BUCKET) -> DataFrame:
     """(row, doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
     Two documents link when their sets of distinct ``words``-word shingles (A-Z lower-cased; the
@@ -203,14 +228,18 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     scratch = Scratch(spark, "similar")
     own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = own.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    buckets = max(8, int(size * 0.05 / bucket) + 1)  # about one signature in 20 bytes
+    share = 2.5 * (100 - percent) / (100 + percent) / 6  # signatures per byte, about
+    buckets = max(8, int(size * share / passes / bucket) + 1)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    made = scratch.write(numbered(rows).mapInArrow(_describe(words, percent, buckets), DOCS), "made")
-    described = scratch.write(made.filter("row IS NOT NULL").drop("bucket", "packed"), "described")
-    members = scratch.write(
-        made.filter("row IS NULL").select("bucket", "packed").groupBy("bucket").applyInArrow(_shared, "sig long, cid long, first long, members long"), "members"
-    )
-    scratch.drop("made")
+    described = scratch.write(numbered(rows).mapInArrow(_describe(words), DOCS), "described")
+    names = []
+    for part in range(passes):
+        names.append(f"members{part}")
+        signed = own.select("text").mapInArrow(_sign(words, percent, part, passes, buckets), SIGNED)
+        scratch.write(signed.groupBy("bucket").applyInArrow(_shared, "sig long, cid long, first long, members long"), names[-1])
+        del signed
+        scratch.release()
+    members = spark.read.schema("sig long, cid long, first long, members long").parquet(*[scratch.paths[n] for n in names])
     # a class is one set; that its 64-bit number stands for one set only is checked with 64 more bits
     classes = described.filter("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.min("cid2").alias("lo"), F.max("cid2").alias("hi"), F.min("n").alias("n"),
@@ -222,13 +251,14 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     touched = members.select("cid").distinct()
     meet = scratch.write(classes.join(touched, "cid", "left_semi").select("cid", "least", "n", "sketch"), "meet")
     needed = meet.select(F.col("least").alias("need")).distinct()
-    texts = own.join(needed, F.col("doc_id").eqNullSafe(F.col("need")), "left_semi").select("text")
+    # never broadcast: the ids grow with the documents, and texts move once at every size
+    texts = own.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("need")), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 us = [shingle_set(t or "", words) for t in batch.slice(at, 512).column(0).to_pylist()]
-                cid = pa.array([int(mix(u, 21).sum().view(np.int64)) for u in us], pa.int64())
+                cid = pa.array([class_of(u) for u in us], pa.int64())
                 yield pa.RecordBatch.from_arrays([cid, pa.array([u.tobytes() for u in us], pa.binary())], names=["cid", "u"])
 
     kept = scratch.write(texts.mapInArrow(sets, "cid long, u binary"), "sets")
@@ -242,14 +272,23 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         )
         return scratch.write(full.select("a", "b", "ua", "ub").mapInArrow(_verify(percent), "a long, b long"), name)
 
+    def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components."""
+        for end in "ab":
+            pairs = pairs.join(state.select(F.col("cid").alias(end), F.col("comp").alias(f"c{end}")), end)
+        return pairs.filter("ca <> cb").select("a", "b")
+
     def components(links: DataFrame) -> DataFrame:
         found = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("comp"))
         return scratch.write(meet.select("cid", "n", "sketch").join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "components")
 
-    # every member against its signature's first; pairs whose sizes alone rule a link out are none
+    # every member against the first of its signatures: the first that looks nearest, then those of other components
     star = members.filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct().join(left, "a").join(right, "b")
-    star = star.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & _within("sa", "sb", percent))
-    links = verified(star.select("a", "b"), "star")
+    star = star.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("far", F.pandas_udf(_distance, "long")("sa", "sb"))
+    star = scratch.write(star.filter(F.col("far") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "far"), "star")
+    links = verified(star.groupBy("b").agg(F.min(F.struct("far", "a")).alias("near")).select(F.col("near.a").alias("a"), "b"), "near-first")
+    state = components(links)
+    links = links.unionByName(verified(apart(star.select("a", "b"), state), "other-firsts"))
     state = components(links)
     for step in ("nearest", "rest"):
         open_ = members.filter("members > 2").join(state, "cid")
@@ -264,9 +303,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         pairs = dealt.groupBy("sig", "lo", "hi").applyInArrow(_compare(percent, step == "nearest"), "a long, b long")
         found = verified(pairs, step)
         links = links.unionByName(found)
-        if found.isEmpty():
-            continue
-        state = components(links)
+        if not found.isEmpty():
+            state = components(links)
     named = state.join(classes.select("cid", "least"), "cid")
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     place = named.join(least, "comp").select("cid", "component")
@@ -274,17 +312,3 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     return described.join(place, F.col("cid") == F.col("c"), "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     )
-
-
-def _within(a: str, b: str, percent: int):
-    """Whether the sketches allow the pair: cells of different parity are at least so many differences."""
-
-    @F.pandas_udf("boolean")
-    def near(sa, sb, na, nb):
-        import pandas as pd
-
-        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (sa, sb))
-        far = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-        return pd.Series((100 + percent) * far <= (100 - percent) * (na.to_numpy() + nb.to_numpy()))
-
-    return near(a, b, "na", "nb")
