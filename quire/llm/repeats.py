@@ -19,7 +19,6 @@ bucket. A pass moves a fixed fraction of the text, so its share of the disk is b
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ from quire.llm.shingles import U
 from quire.llm.suffixes import PERIOD, Block, windows
 
 LENGTH = 100
-#: Passes over the text, items that one bucket holds on average, bytes of text a task works on at once.
-PASSES, BUCKET, FLUSH = 4, 1_000_000, 8_000_000
+#: Passes over the text for samples and for suffixes, items that one bucket holds on average, bytes of text a task works on at once.
+PASSES, SUFFIX_PASSES, BUCKET, FLUSH = 4, 3, 1_000_000, 8_000_000
 #: Buckets by document in which results meet hold so many bytes of text on average.
 DOC_BYTES = 16_000_000
 LAST = 2**63 - 1
@@ -262,16 +261,17 @@ def _suffixes(length: int, part: int, passes: int, buckets: int, by_doc: int):
 
 
 def _cut(length: int):
-    """(row columns ..., bytes, ranges of starts) -> what remains, and how much was removed in how many runs."""
+    """(doc_id, bytes, two lists of ranges of starts) -> what remains, and how much was removed in how many runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 kept, sizes, removed, spans = [], [], [], []
-                for text, ranges in zip(part.column(1), part.column(2)):
+                for text, *ranges in zip(part.column(1), part.column(2), part.column(3)):
                     raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    gone = np.frombuffer(ranges.as_buffer(), np.int32).reshape(-1, 2) if ranges.is_valid else np.zeros((0, 2), np.int32)
+                    gone = np.concatenate([np.frombuffer(r.as_buffer() if r.is_valid else b"", np.int32).reshape(-1, 2) for r in ranges])
+                    gone = gone[np.argsort(gone[:, 0], kind="stable")]
                     low, high = gone[:, 0], np.minimum(gone[:, 1], len(raw) - length)
                     ok = low <= high
                     runs = _merge(low[ok], high[ok] + length - 1)
@@ -308,35 +308,35 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, passes: int = PASS
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"), F.encode(whole(), "UTF-8").alias("raw")
     )
     size = own.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
-    buckets = max(8, int(size * 0.125 / passes / bucket) + 1)
     by_doc = max(8, int(size / DOC_BYTES) + 1)
     long = own.filter(F.octet_length("raw") >= length).select("id", "hash", "raw")
 
-    def sorted_pass(rows: DataFrame, spread, sort, name: str) -> list[str]:
-        names = []
+    def sorted_passes(rows: DataFrame, spread, sort, name: str, passes: int) -> list[str]:
+        names, buckets = [], max(8, int(size * 0.125 / passes / bucket) + 1)
         for part in range(passes):
             names.append(f"{name}{part}")
             packed = rows.mapInArrow(spread(length, part, passes, buckets, by_doc), SCHEMA)
             scratch.write(packed.groupBy("bucket").applyInArrow(sort(by_doc), SCHEMA), names[-1])
             del packed
-            # shuffle files of a pass go once its plan has no reference left, not at some later time
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+            scratch.release()
         return names
 
     def read(names: list[str]) -> DataFrame:
         return spark.read.schema(SCHEMA).parquet(*[scratch.paths[n] for n in names])
 
     marks = "id long, hash long, sure binary, test binary"
-    first = sorted_pass(long, _samples, _sort_samples, "samples")
+    first = sorted_passes(long, _samples, _sort_samples, "samples", passes)
     state = scratch.write(read(first).groupBy("bucket").applyInArrow(_by_document, marks), "state")
+    scratch.drop(*first)
+    scratch.release()
     open_ = state.filter(F.octet_length("test") > 0).select("id", "hash", "test")
-    ties = scratch.write(long.join(open_, ["id", "hash"]).select("id", "hash", "raw", "test"), "ties")
-    second = sorted_pass(ties, _suffixes, _sort_suffixes, "suffixes")
-    scratch.drop("ties", "state")
-    gone = read(first + second).filter(F.col("kind") != TIE).groupBy("bucket").applyInArrow(_by_document, marks).select("id", "hash", "sure")
-    gone = scratch.write(gone, "gone")
-    scratch.drop(*first, *second)
-    joined = own.join(gone, ["id", "hash"], "left").select("doc_id", "raw", "sure")
+    ties = scratch.write(long.join(open_.hint("merge"), ["id", "hash"]).select("id", "hash", "raw", "test"), "ties")
+    scratch.release()
+    second = sorted_passes(ties, _suffixes, _sort_suffixes, "suffixes", max(1, passes * SUFFIX_PASSES // PASSES))
+    scratch.drop("ties")
+    found = read(second).groupBy("bucket").applyInArrow(_by_document, marks).select("id", "hash", F.col("sure").alias("found"))
+    gone = scratch.write(state.select("id", "hash", "sure").join(found.hint("merge"), ["id", "hash"], "full"), "gone")
+    scratch.drop(*second)
+    joined = own.join(gone.hint("merge"), ["id", "hash"], "left").select("doc_id", "raw", "sure", "found")
     kinds = f"doc_id {pick(docs, 'doc_id').dtypes[0][1]}, kept binary, n_bytes long, n_removed long, n_spans long"
     return joined.mapInArrow(_cut(length), kinds)
