@@ -109,6 +109,9 @@ def bounded_bfs(
         return seen.limit(0)
     frontier = seen
     for depth in range(1, max_depth + 1):
+        used = materialize(seen.groupBy("qid").agg(F.count("*").alias("used")), "bfs-used")
+        # A question that is full takes no node any more, so its frontier is not expanded.
+        frontier = frontier.join(used.filter(F.col("used") < max_nodes).select("qid"), "qid", "left_semi")
         # Only links out of the frontier are looked at, and of those only the useful ones.
         fresh = links.join(frontier.select(F.col("node").alias("src")).distinct(), "src", "left_semi").distinct()
         adj = top_per_group(fresh, ["src"], ["dst"], 2 * max_nodes).drop("_n")
@@ -118,7 +121,6 @@ def bounded_bfs(
             .distinct()
             .join(seen.select("qid", "node"), ["qid", "node"], "left_anti")
         )
-        used = seen.groupBy("qid").agg(F.count("*").alias("used"))
         step = (
             top_per_group(reach, ["qid"], ["node"], max_nodes)
             .join(used, "qid")
@@ -130,12 +132,13 @@ def bounded_bfs(
     return seen
 
 
-def label_propagation(edges: DataFrame, *, max_rounds: int = 20) -> DataFrame:
-    """(id, label) by label propagation on the undirected multigraph.
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """(id, label) by label propagation on the undirected multigraph, run until nothing moves.
 
-    Two half-steps per round (vertices split by a hash bit) keep neighbours from
-    swapping labels for ever; a vertex keeps its label when it is among the most
-    frequent ones, else takes the least of them. Stops when a round changes nothing.
+    A vertex keeps its label when it is among the most frequent ones around it, else it wants the
+    least of those. Of neighbours that want to move, the one with the smallest priority of the
+    round does, so no two neighbours move at once: every move raises the weight of links whose
+    ends agree, and the rounds come to an end on every graph.
     """
     both = materialize(
         _mirror(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v"))
@@ -144,47 +147,37 @@ def label_propagation(edges: DataFrame, *, max_rounds: int = 20) -> DataFrame:
         "labels-edges",
     )
     labels = materialize(both.select(F.col("u").alias("id"), F.col("u").alias("label")).distinct(), "labels")
-    for _ in range(max_rounds):
-        moved = 0
-        for turn in (0, 1):
-            mine = labels.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == turn)
-            votes = (
-                both.join(labels, both.v == labels.id)
-                .groupBy("u", "label")
-                .agg(F.sum("w").alias("w"))
-            )
-            current = mine.select(F.col("id").alias("u"), F.col("label").alias("own"))
-            best = (
-                votes.join(current, "u")
-                .groupBy("u", "own")
-                .agg(F.min(F.struct(-F.col("w"), F.col("label") != F.col("own"), F.col("label"))).alias("b"))
-                .select(F.col("u").alias("id"), F.col("b.label").alias("new"))
-            )
-            nxt = materialize(
-                labels.join(best, "id", "left").select(
-                    "id",
-                    F.coalesce("new", "label").alias("label"),
-                    F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved"),
-                ),
-                "labels",
-            )
-            moved += nxt.filter("moved").count()
-            labels = nxt.select("id", "label")
-        if not moved:
-            break
-    return labels
+    turn = 0
+    while True:
+        votes = both.join(labels, both.v == labels.id).groupBy("u", "label").agg(F.sum("w").alias("w"))
+        own = labels.select(F.col("id").alias("u"), F.col("label").alias("own"))
+        best = (
+            votes.join(own, "u")
+            .groupBy("u", "own")
+            .agg(F.min(F.struct(-F.col("w"), F.col("label") != F.col("own"), F.col("label"))).alias("b"))
+            .filter(F.col("b.label") != F.col("own"))
+        )
+        wish = materialize(best.select("u", F.col("b.label").alias("new"), F.struct(F.xxhash64("u", F.lit(turn)), "u").alias("turn")), "wishes")
+        if wish.isEmpty():
+            return labels
+        near = both.join(wish.select(F.col("u").alias("v"), F.col("turn").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
+        moves = wish.join(near, "u", "left").filter(F.col("other").isNull() | (F.col("turn") < F.col("other")))
+        labels = materialize(
+            labels.join(moves.select(F.col("u").alias("id"), "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")), "labels"
+        )
+        turn += 1
 
 
 def communities(
-    edges: DataFrame, *, algorithm: str = "label_propagation", min_size: int = 3, max_rounds: int = 20
+    edges: DataFrame, *, algorithm: str = "label_propagation", min_size: int = 3
 ) -> DataFrame:
     """(community_id, id): communities numbered by size before small ones are dropped.
 
-    ``leiden`` falls back to label propagation, as it does where its library is absent.
+    Only label propagation is offered; asking for another method raises.
     """
-    if algorithm not in ("label_propagation", "leiden"):
-        raise ValueError(f"unknown community algorithm {algorithm!r}")
-    labels = label_propagation(edges, max_rounds=max_rounds)
+    if algorithm != "label_propagation":
+        raise ValueError(f"community algorithm {algorithm!r} is not offered; use label_propagation")
+    labels = label_propagation(edges)
     sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("n")), "community-sizes")
     one = sizes.withColumn("_all", F.lit(0)).withColumn("_neg", -F.col("n"))
     ranked = ordinal(one, ["_all"], ["_neg", "label"], "at").filter(F.col("n") >= min_size)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions.text import fold_description_list
+from quire.functions.text import merge_pair
 from quire.session import materialize
 
-FOLD_CHUNK = 1024
+#: Rows of one group that a task streams at most; only how the work is dealt out depends on it.
+SLICE_ROWS = 100_000
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -33,40 +38,62 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataF
 
 
 def fold_texts(
-    df: DataFrame, keys: list[str], order: str, text: str, max_chars: int, chunk: int = FOLD_CHUNK
+    df: DataFrame, keys: list[str], order: str, text: str, max_chars: int, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Ordered description merge per group -> (keys, text).
+    """Ordered description merge per group -> (keys, text), equal to one pass from left to right.
 
-    Repeats are dropped before the shuffle (first position wins). Groups of up to
-    ``chunk`` distinct texts are folded left to right; larger ones are folded chunk by
-    chunk and the results folded again, so no task ever holds more than ``chunk`` texts.
+    Merging is not associative, so a group's texts stay in their order, repeats included. Each
+    task streams sorted rows and carries one running text of at most ``max_chars``. A group of
+    more than ``slice_rows`` rows is cut into slices; the text after a slice opens the next
+    one, so no task ever sees more of a hot group than one slice.
     """
-    rows = (
-        df.filter(F.col(text) != "")
-        .groupBy(*keys, text)
-        .agg(F.min(order).alias("_ord"))
-    )
+    rows = df.filter(F.col(text) != "").select(*keys, F.col(order).alias("_ord"), F.col(text).alias("_text"))
     largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    while largest > chunk:
-        placed = ordinal(rows, keys, ["_ord"], "_at").withColumn("_chunk", F.floor(F.col("_at") / chunk))
-        rows = materialize(
-            _fold_groups(placed, [*keys, "_chunk"], text, max_chars).withColumnRenamed("_chunk", "_ord"),
-            "fold",
-        )
-        largest = -(-largest // chunk)
-    return _fold_groups(rows, keys, text, max_chars)
-
-
-def _fold_groups(rows: DataFrame, keys: list[str], text: str, max_chars: int) -> DataFrame:
-    lists = rows.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_ord", text))), lambda x: x[text]).alias("_texts")
-    )
-    # Only groups with something to merge cross into Python.
-    single = lists.filter(F.size("_texts") == 1).select(*keys, F.col("_texts")[0].alias(text))
-    several = lists.filter(F.size("_texts") > 1).select(
-        *keys, fold_description_list(F.col("_texts"), max_chars).alias(text)
-    )
-    return single.unionByName(several)
+    slices = -(-largest // slice_rows)
+    if slices > 1:
+        rows = ordinal(rows, keys, ["_ord", "_text"], "_at").withColumn("_slice", F.floor(F.col("_at") / slice_rows)).drop("_at")
+        rows = materialize(rows, "fold-rows")
+    carried = None
+    for turn in range(max(slices, 1)):
+        here = (rows.filter(F.col("_slice") == turn).drop("_slice") if slices > 1 else rows).withColumn("_late", F.lit(True))
+        if carried is not None:
+            none = F.lit(None).cast(here.schema["_ord"].dataType)
+            opened = carried.select(*keys, none.alias("_ord"), F.col(text).alias("_text"), F.lit(False).alias("_late"))
+            here = here.unionByName(opened.join(here.select(*keys).distinct(), keys, "left_semi"))
+        merged = _stream_fold(here, keys, text, max_chars)
+        if slices > 1:
+            if carried is not None:
+                merged = merged.unionByName(carried.join(merged.select(*keys), keys, "left_anti"))
+            merged = materialize(merged, "fold")
+        carried = merged
+    return carried
+
+
+def _stream_fold(rows: DataFrame, keys: list[str], text: str, max_chars: int) -> DataFrame:
+    """One running text per group over rows sorted by (keys, _late, _ord)."""
+    # Equal orders are put in the order of their texts, so reruns agree.
+    flat = rows.select(F.struct(*keys).alias("k"), "_late", "_ord", "_text")
+    dealt = flat.repartition("k").sortWithinPartitions("k", "_late", "_ord", "_text").select("k", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, said = None, ""
+        for batch in batches:
+            ks, out = batch.column(0), []
+            for k, part in zip(ks.to_pylist(), batch.column(1).to_pylist()):
+                if last is not None and k == last:
+                    said = merge_pair(said, part, max_chars)
+                    continue
+                if last is not None:
+                    out.append((last, said))
+                last, said = k, part
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], ks.type), pa.array([t for _, t in out], pa.string())], names=["k", text])
+            kind = ks.type
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([said], pa.string())], names=["k", text])
+
+    schema = T.StructType([dealt.schema["k"], T.StructField(text, T.StringType())])
+    return dealt.mapInArrow(run, schema).select("k.*", text)
 
 
 def top_per_group(

@@ -40,7 +40,7 @@ class Artifacts:
 
 
 def retrieve(questions: DataFrame, art: Artifacts, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """(ranked pages, node scores) for ``questions(qid, question, vector)``.
+    """(ranked pages, node scores) for ``questions(qid, question, vector[, doc_id])``.
 
     Anchors scan only the page cards' folder. A question without propagated pages keeps
     its anchors.
@@ -48,9 +48,11 @@ def retrieve(questions: DataFrame, art: Artifacts, cfg: Config) -> tuple[DataFra
     q = cfg.query
     page_cards = art.index.filter("evidence_type = 'page'")
     where = page_cards.select(F.col("evidence_id").alias("id"), "doc_id", F.element_at("page_ids", 1).alias("page_id"))
+    within = "doc_id" if "doc_id" in questions.columns else None
+    carried = [within] if within else []
     hits = knn.topk(
-        questions.select("qid", "vector"), page_cards.select(F.col("evidence_id").alias("id"), "vector"),
-        q.retrieval.anchor_size, metric=cfg.index.metric,
+        questions.select("qid", "vector", *carried), page_cards.select(F.col("evidence_id").alias("id"), "vector", *carried),
+        q.retrieval.anchor_size, metric=cfg.index.metric, within=within,
     )
     anchors = materialize(hits.join(where, "id").select("qid", *PAGE, "score", "rank"), "anchors")
     pages = page_cards.select(
@@ -91,7 +93,10 @@ def _draft(a: str) -> Column:
 def ask(
     spark: SparkSession, cfg: Config, questions: DataFrame, *, llm=None, artifacts: Artifacts | None = None
 ) -> DataFrame:
-    """``questions(qid, question[, answer_guidelines])`` -> one answer row per question.
+    """``questions(qid, question[, answer_guidelines, doc_id])`` -> one answer row per question.
+
+    A question with a ``doc_id`` takes its anchors from that document only. Questions are rows:
+    equal ids do not mix.
 
     Three phases, each over the whole batch: encode all questions; retrieve, propagate and
     rerank; generate. Model calls are the only points where the plan is cut.
@@ -110,7 +115,12 @@ def ask(
 
     try:
         guide = "answer_guidelines" if "answer_guidelines" in questions.columns else F.lit(None).cast("string")
-        asked = questions.select("qid", "question", F.col(guide).alias("guide") if isinstance(guide, str) else guide.alias("guide"))
+        # ids in a question file may repeat, so every row gets a key of its own and carries its id along
+        asked = questions.select(
+            F.monotonically_increasing_id().alias("qid"), F.col("qid").alias("given"), "question",
+            F.col(guide).alias("guide") if isinstance(guide, str) else guide.alias("guide"),
+            (F.col("doc_id") if "doc_id" in questions.columns else F.lit(None).cast("string")).alias("doc_id"),
+        )
         with tracer.stage("query.encode"):
             asked = materialize(asked.withColumn("vector", encoder(cfg).vector(F.col("question"))), "questions")
         with tracer.stage("query.retrieve"):
@@ -171,7 +181,7 @@ def ask(
         pick = lambda c: F.when(F.col("mode") == "fusion", F.col(f"f_{c}")).when(F.col("mode") == "images", F.col(f"i_{c}")).otherwise(F.col(f"t_{c}"))
         final = state.join(by_image, "qid", "left").join(by_text, "qid", "left").join(fused, "qid", "left")
         return final.select(
-            "qid", "question", F.coalesce(pick("text"), F.lit("")).alias("answer"),
+            F.col("given").alias("qid"), "question", F.coalesce(pick("text"), F.lit("")).alias("answer"),
             F.coalesce(pick("cited_pages"), F.array().cast("array<bigint>")).alias("cited_pages"),
             F.coalesce(pick("confidence"), F.lit("low")).alias("confidence"),
             F.when(F.col("has_pages"), F.col("mode")).alias("answer_mode"), "route",

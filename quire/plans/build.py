@@ -116,9 +116,13 @@ class Build:
 
     def ingest(self, source: str) -> None:
         rows = materialize(ingest(self.spark, self.cfg.ingest.parser, source), "ingest")
+        broken = rows.filter("page_id IS NULL")
+        self._record(broken.select(F.lit("ingest").alias("stage"), *PAGE, F.lit("layout file is broken or holds no page").alias("error")))
+        rows = rows.filter("page_id IS NOT NULL")
         self.ws.save("pages", conform(rows, PAGES))
         if "blocks" in rows.columns:
-            parts = layout.page_components(rows.filter("page_w IS NOT NULL AND page_h IS NOT NULL"))
+            # Without a page size, boxes are scaled to the extent of the page's own blocks.
+            parts = layout.page_components(layout.with_page_size(rows))
         else:
             # Without layout the whole page is one paragraph.
             parts = rows.filter(F.coalesce("text", F.lit("")) != "").select(
@@ -145,10 +149,7 @@ class Build:
         comps = self.ws.load("components")
         pages = materialize(self.pages().select(*PAGE, "text", "page_image_path"), "active")
         missing = pages.join(comps.select(*PAGE).distinct(), PAGE, "left_anti")
-        self.failures += [
-            {"stage": "extract", "doc_id": r.doc_id, "page_id": r.page_id, "error": "page has no components"}
-            for r in missing.limit(1000).collect()
-        ]
+        self._record(missing.select(F.lit("extract").alias("stage"), *PAGE, F.lit("page has no components").alias("error")))
         active = materialize(pages.join(comps.select(*PAGE).distinct(), PAGE, "left_semi").withColumn("idle", F.lit(0)), "active")
         nodes = self.spark.createDataFrame([], "page_id bigint, ord int, " + NODES)
         edges = self.spark.createDataFrame([], "page_id bigint, ord int, " + EDGES)
@@ -234,8 +235,10 @@ class Build:
         return render.scorecards(comps, nodes, edges)
 
     def _keep_failures(self, said: DataFrame, stage: str) -> None:
-        """Failed pages go to a table; the manifest lists the first ones."""
-        bad = said.filter("NOT r.ok").select(F.lit(stage).alias("stage"), *PAGE, F.col("r.error").alias("error"))
+        self._record(said.filter("NOT r.ok").select(F.lit(stage).alias("stage"), *PAGE, F.col("r.error").alias("error")))
+
+    def _record(self, bad: DataFrame) -> None:
+        """All failures go to a table; the manifest lists the first ones."""
         some = [r.asDict() for r in bad.limit(1000).collect()]
         if some:
             self.ws.append("failures", bad, ["stage"])

@@ -11,7 +11,7 @@ from quire.functions import text
 from quire.functions.ids import entity_id, page_evidence_id
 from quire.functions.json import loose_object
 from quire.operators import align, answer, canonical, cards, context, dedupe, expand, graphs, knn, layout
-from quire.operators import pagerank, patch, render, stats, store
+from quire.operators import ordering, pagerank, patch, render, stats, store
 from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
@@ -51,6 +51,21 @@ def vector_topk_filtered(t: Tables) -> DataFrame:
     return _search(t, vectors, 10)
 
 
+@query
+def anchor_pages_by_document(t: Tables) -> DataFrame:
+    """Questions that name a document meet its pages only; every third names none."""
+    asks = og.og_questions(t).withColumn("doc_id", F.when(F.col("qid") % 3 == 1, "ASIA").when(F.col("qid") % 3 == 2, "EUROPE"))
+    pages = og.og_card_vectors(t).filter("evidence_type = 'page'").select(F.col("evidence_id").alias("id"), "vector", "doc_id")
+    return knn.topk(asks, pages, 30, within="doc_id").withColumnRenamed("id", "evidence_id")
+
+
+@query
+def merged_descriptions(t: Tables) -> DataFrame:
+    """All documents of a source merged in their order, 4000 characters at most."""
+    rows = t.documents.select("source", "doc_id", F.coalesce("text", F.lit("")).alias("description"))
+    return ordering.fold_texts(rows, ["source"], "doc_id", "description", 4000)
+
+
 @query
 def anchor_pages(t: Tables) -> DataFrame:
     return _search(t, og.og_card_vectors(t).filter("evidence_type = 'page'"), 30)

@@ -138,6 +138,12 @@ SELECT qid, evidence_id, score, CAST(rank AS INTEGER) AS rank FROM (
 WHERE rank <= {k}"""
 
 oracle("anchor_pages", _SEARCH.format(where="c.evidence_type = 'page'", k=30))
+oracle(
+    "anchor_pages_by_document",
+    _SEARCH.format(
+        where="c.evidence_type = 'page' AND (q.qid % 3 = 0 OR c.doc_id = CASE q.qid % 3 WHEN 1 THEN 'ASIA' ELSE 'EUROPE' END)", k=30
+    ),
+)
 oracle(
     "vector_topk_filtered",
     _SEARCH.format(where="c.evidence_type IN ('entity', 'relation') AND c.doc_id IN ('ASIA', 'EUROPE')", k=10),

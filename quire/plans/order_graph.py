@@ -18,37 +18,24 @@ from quire.schemas import contract
 from quire.session import materialize
 
 
-SMALL_FILE, LARGE_FILE = 256 << 10, 64 << 20
-
-
 class Tables:
-    """Lazy readers for one data folder; a table's schema and size are looked up once.
+    """Lazy readers for one data folder; a table's schema is looked up once.
 
-    A file with a single row group is read by one task, and with every join broadcast the
-    rest of the plan would run in that task too. Rows of such small files are spread over
-    the cores once; larger tables bring their own parallelism and are read as they are.
+    Tables are read as Spark splits them, at every size.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._known: dict[str, tuple[StructType, bool]] = {}
+        self._known: dict[str, StructType] = {}
         self._stored: DataFrame | None = None
 
-    def _look_up(self, file: str) -> tuple[StructType, bool]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        size = fs.getContentSummary(where).getLength()
-        return self.spark.read.parquet(file).schema, SMALL_FILE < size < LARGE_FILE
-
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         file = f"{self.path}/{name}.parquet"
         if name not in self._known:
-            self._known[name] = self._look_up(file)
-        schema, thin = self._known[name]
-        df = self.spark.read.schema(schema).parquet(file)
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if thin else df
+            self._known[name] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(self._known[name]).parquet(file)
 
 
 def og_pages(t: Tables) -> DataFrame:

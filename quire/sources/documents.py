@@ -15,16 +15,18 @@ from quire.schemas import PAGES, contract
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """Layout JSON files (``<doc>_middle.json``) -> pages with blocks and page size."""
+    """Layout JSON files (``<doc>_middle.json``) -> pages with blocks and page size.
+
+    A file that cannot be read or holds no page gives one row without ``page_id``, so that its
+    loss is seen.
+    """
     raw = spark.read.schema(LAYOUT).option("multiLine", True).json(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     doc = F.regexp_replace(name, r"(_middle)?\.json$", "")
-    return layout_pages(raw.select(doc.alias("doc_id"), "pdf_info").filter(F.size("pdf_info") > 0))
-
-
-def read_layout_page(spark: SparkSession, path: str, page_index: int) -> DataFrame:
-    """One page (0-based) of a layout file."""
-    return read_layouts(spark, path).filter(F.col("page_id") == page_index + 1)
+    files = raw.select(doc.alias("doc_id"), "pdf_info")
+    pages = layout_pages(files.filter(F.size("pdf_info") > 0))
+    bad = files.filter(F.coalesce(F.size("pdf_info"), F.lit(0)) <= 0).select("doc_id")
+    return pages.unionByName(bad, allowMissingColumns=True)
 
 
 def read_pdfs(spark: SparkSession, path: str, **_: Any) -> DataFrame:

@@ -32,20 +32,37 @@ class Workspace:
         fs, p = self._fs(self.path(name))
         return fs.exists(p)
 
+    def _recover(self, name: str) -> None:
+        """Finish a table switch that was interrupted: the old table comes back if no new one is in place."""
+        fs, table = self._fs(self.path(name))
+        _, kept = self._fs(self.path(f"{name}.old"))
+        if fs.exists(kept):
+            if fs.exists(table):
+                fs.delete(kept, True)
+            else:
+                fs.rename(kept, table)
+
     def save(self, name: str, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Write a stage table and return it as read back.
 
-        The rows go to a side folder first, so a stage may rewrite a table it reads.
+        The rows go to a side folder first, so a stage may rewrite a table it reads. The old
+        table is moved aside until the new one is in place: at every moment one of them is whole,
+        and the next access puts it back if the switch was cut short.
         """
+        self._recover(name)
         fresh = self.path(f"{name}.new")
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(fresh)
         fs, new = self._fs(fresh)
         _, old = self._fs(self.path(name))
-        if fs.exists(old):
-            fs.delete(old, True)
+        _, aside = self._fs(self.path(f"{name}.old"))
+        if fs.exists(old) and not fs.rename(old, aside):
+            raise StageError(f"cannot move {self.path(name)} aside")
         if not fs.rename(new, old):
+            self._recover(name)
             raise StageError(f"cannot move {fresh} into place")
+        if fs.exists(aside):
+            fs.delete(aside, True)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame, by: list[str]) -> None:
@@ -53,6 +70,7 @@ class Workspace:
 
     def load(self, name: str, *, schema: str | None = None) -> DataFrame:
         """A stage table; where it is absent, an empty one if a schema is given."""
+        self._recover(name)
         if not self.exists(name):
             if schema is None:
                 raise StageError(f"table {name} is missing in {self.folder}")

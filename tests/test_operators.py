@@ -75,12 +75,23 @@ def test_compact_against_pairs():
     assert len(text.compact("abcd efgh. " * 2 + "xyz uvw. " + "many words here. " * 3, 20)) <= 20
 
 
-def test_fold_in_chunks(spark):
-    rows = [("hot", i, f"fact number{i} river{i}.") for i in range(60)] + [("cold", 1, "b."), ("cold", 0, "alpha beta."), ("cold", 2, "alpha beta.")]
-    df = spark.createDataFrame(rows, "k string, o int, t string")
-    got = {r.k: r.t for r in ordering.fold_texts(df, ["k"], "o", "t", 10**6, chunk=8).collect()}
-    want = {k: text.fold_descriptions([t for kk, _, t in sorted(rows, key=lambda r: r[1]) if kk == k], 10**6) for k in ("hot", "cold")}
-    assert got == want
+@pytest.mark.parametrize("cap", [200, 4000])
+def test_fold_in_slices(spark, cap):
+    rnd = random.Random(cap)
+    words = "river sand water stone lab ada study carries moving moved rivers bridge copper".split()
+    said = [" ".join(" ".join(rnd.choices(words, k=rnd.randint(1, 6))) + "." for _ in range(rnd.randint(1, 4))) for _ in range(60)]
+    rows = [(k, None if k == "odd" else 1, i, rnd.choice(said)) for k, n in (("hot", 230), ("odd", 40), ("one", 1), ("two", 2)) for i in range(n)] + [("none", 1, 0, "")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, j int, o int, t string")
+    want = {}
+    for k, _, _, t in sorted(rows, key=lambda r: r[2]):
+        if t:
+            want[k] = text.merge_pair(want.get(k, ""), t, cap)
+    for size in (7, 100, 10**6):
+        got = {r.k: r.t for r in ordering.fold_texts(df, ["k", "j"], "o", "t", cap, slice_rows=size).filter("j IS NOT NULL").collect()}
+        assert got == {k: t for k, t in want.items() if k != "odd"}, size
+    odd = ordering.fold_texts(df.filter("k = 'odd'"), ["k"], "o", "t", cap, slice_rows=7).first()
+    assert odd.t == want["odd"]
 
 
 def test_ordinal_and_large_limits(spark):
