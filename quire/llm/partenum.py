@@ -33,6 +33,8 @@ PERCENT, WORDS = 90, 3
 SUBSETS_BELOW = 8
 #: Bits of the sketch that holds, for each cell, whether an odd number of elements falls into it.
 SKETCH = 1024
+#: Sets of SKETCH elements and more have so many times as many cells; eight, as a byte then folds to one cell.
+FINE = 8
 #: Signatures that one bucket of the exchange holds on average; members of a signature that are compared as one block.
 BUCKET, BLOCK = 1_000_000, 2048
 #: Passes over the text, each for one range of signatures: what is on disk at once is a fixed fraction of the text.
@@ -64,29 +66,44 @@ def signatures(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     out = []
     for instance, last in ((number, top), (number + 1, above)):
         k = differences(last, percent)
-        # a partition is a range of hashes, so it is a stretch of the sorted set
+        # a partition is a range of hashes, so it is a stretch of the sorted set; k differences leave
+        # at least ``spare + 1`` partitions (or threes of them with at most one difference) alike
         few = 0 < k and last < SUBSETS_BELOW * (k + 2)
-        parts = 1 if k == 0 else 3 * ((k + 2) // 2) if few else k + 2
+        least = 1 if k == 0 else k // 2 + 1 if few else k + 1
+        spare = 0 if k == 0 else 2 + least // 40
+        parts = (least + spare) * (3 if few else 1)
         cut = np.searchsorted(high * parts >> 32, np.arange(parts + 1))
-        sums = total[cut[1:]] - total[cut[:-1]]
-        if few:  # of each three partitions, two of which agree unless two differences fall into the three
-            a = sums.reshape(-1, 3)
+        sums, full = total[cut[1:]] - total[cut[:-1]], cut[1:] > cut[:-1]
+        if few:  # of such a three, two partitions agree
+            a, f = sums.reshape(-1, 3), full.reshape(-1, 3)
             sums = np.stack([a[:, 0] + a[:, 1] * U(3), a[:, 0] + a[:, 2] * U(5), a[:, 1] + a[:, 2] * U(7)], 1).ravel()
-            own = np.arange(len(sums))
+            full = np.stack([f[:, 0] | f[:, 1], f[:, 0] | f[:, 2], f[:, 1] | f[:, 2]], 1)
+            bare = int((~full.all(1)).sum())
+            full = full.ravel()
         else:
-            # of k + 2 partitions two agree, so one empty partition needs no signature
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            own = full if parts - len(full) < 2 else np.arange(parts)
-            sums = sums[own]
+            bare = int((~full).sum())
+        # what is empty in so few places need not be shared: another alike place is not empty
+        own = np.flatnonzero(full) if bare <= spare else np.arange(len(sums))
+        sums = sums[own]
         out.append(mix(mix(sums, 11) + own.astype(np.uint64), instance + 13))
     return np.concatenate(out)
 
 
 def sketch(u: np.ndarray) -> bytes:
-    cells = np.bincount((mix(u, 5) >> U(54)).astype(np.int64), minlength=SKETCH) & 1
+    """Parities of SKETCH cells, or of FINE times as many for a large set; a fine cell lies within a coarse one."""
+    bits = SKETCH if len(u) < SKETCH else SKETCH * FINE
+    cells = np.bincount((mix(u, 5) >> U(65 - bits.bit_length())).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def _parities(sketches: list[bytes], coarse: bool) -> np.ndarray:
+    """Sketches as rows of numbers; ``coarse`` brings large ones down to SKETCH cells."""
+    if coarse:
+        sketches = [s if len(s) == SKETCH // 8 else np.packbits(np.bitwise_count(np.frombuffer(s, np.uint8)) & 1).tobytes() for s in sketches]
+    width = len(sketches[0]) // 8 if sketches else SKETCH // 64
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), width)
+
+
 DOCS = "row long, doc_id long, n long, cid long, cid2 long, sketch binary"
 _DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
 SIGNED = "bucket int, packed binary"
@@ -188,7 +205,8 @@ def _compare(percent: int, nearest: bool):
 
     def run(group: pa.Table) -> pa.Table:
         cid, comp, n, side = (group.column(c).to_numpy() for c in ("cid", "comp", "n", "side"))
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(cid), -1)
+        sketches = group.column("sketch").to_pylist()
+        bits = _parities(sketches, len(set(map(len, sketches))) > 1)
         left = np.flatnonzero(side <= 0)
         right = np.flatnonzero(side >= 0)
         a, b = [], []
@@ -210,8 +228,12 @@ def _compare(percent: int, nearest: bool):
 
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cells whose parity differs: the sets differ in at least so many elements."""
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(np.int64))
+    fine = ((a.str.len() > SKETCH // 8) & (b.str.len() > SKETCH // 8)).to_numpy()
+    out = np.zeros(len(a), np.int64)
+    for own, coarse in ((fine, False), (~fine, True)):
+        x, y = (_parities(s[own].tolist(), coarse) for s in (a, b))
+        out[own] = np.bitwise_count(x ^ y).sum(1)
+    return pd.Series(out)
 
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, passes: int = PASSES, bucket: int = BUCKET) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import clashing, docs
 
@@ -64,17 +65,29 @@ def test_repeats_and_empty(spark):
     assert similar_documents(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 5, 9, 10, 19, 40, 77, 150, 600])
-def test_similar_sets_share_a_signature(size):
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("size", [1, 5, 9, 10, 19, 40, 77, 150, 600, 3000])
+def test_similar_sets_share_a_signature(size, percent):
     rng = np.random.default_rng(size)
     for _ in range(200):
         a = np.unique(rng.integers(0, 2**64, size, np.uint64))
-        k = rng.integers(0, differences(int(size / 0.9) + 1) + 1)
+        k = rng.integers(0, differences(int(size * 100 / percent) + 1, percent) + 1)
         drop = rng.integers(0, k + 1)
         b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, k - drop, np.uint64))))
         inner = len(np.intersect1d(a, b))
-        if len(b) and 100 * inner >= 90 * (len(a) + len(b) - inner):
-            assert len(np.intersect1d(signatures(a), signatures(b)))
+        if len(b) and 100 * inner >= percent * (len(a) + len(b) - inner):
+            assert len(np.intersect1d(signatures(a, percent), signatures(b, percent)))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (900, 1000, 1030, 4000)]
+    sets += [np.unique(np.concatenate((s[40:], rng.integers(0, 2**64, 60, np.uint64)))) for s in sets]
+    for a in sets:
+        for b in sets:
+            x, y = pd.Series([pe.sketch(a)]), pd.Series([pe.sketch(b)])
+            apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            assert pe._distance(x, y)[0] <= apart and (pe._distance(x, y)[0] + apart) % 2 == 0
 
 
 def test_words():
