@@ -19,6 +19,7 @@ import json
 import pickle
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from quire.llm.base import added, numbered, pick
 #: Fixed value: the byte-level pre-split pattern; {L} letter, {N} number, {O} neither these nor white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
 #: A worker's tables of words and arcs are emptied when they reach these sizes.
-MAX_WORDS, MAX_ARCS = 400_000, 1_000_000
+MAX_WORDS, MAX_ARCS = 1_000_000, 1_000_000
 START = -1
 #: Where a node of the byte trie keeps its token.
 TOKEN = -1
@@ -156,7 +157,9 @@ class Automaton:
 
     def decode(self, ids: list[int]) -> str:
         labels, n = self.labels, len(self.labels)
-        return b"".join([labels[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+        if ids and not (min(ids) >= 0 and max(ids) < n):
+            ids = [i for i in ids if 0 <= i < n]
+        return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def unlike_library(path: str) -> str:
@@ -243,7 +246,7 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.automaton.encode(word.encode()), np.int32).tobytes()
+        ids = array("i", self.automaton.encode(word.encode())).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -301,7 +304,14 @@ class Tokenizer:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    made = [own.decode([i for i in x if i is not None] if x else []) for x in part.column(0).to_pylist()]
+                    col = part.column(0)
+                    ends, flat = col.offsets.to_numpy(), col.values
+                    if flat.null_count or col.null_count:
+                        made = [own.decode([i for i in x if i is not None] if x else []) for x in col.to_pylist()]
+                    else:
+                        flat = flat.to_numpy()[ends[0] : ends[-1]].tolist()
+                        ends = (ends - ends[0]).tolist()
+                        made = [own.decode(flat[i:j]) for i, j in zip(ends, ends[1:])]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], names=names)
 
         rest = [c for c in coded.columns if c not in (text, ids)]
