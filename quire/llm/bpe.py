@@ -33,7 +33,7 @@ from quire.llm.base import added, numbered, pick
 #: Fixed value: the byte-level pre-split pattern; {L} letter, {N} number, {O} neither these nor white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
 #: A worker's tables of words and arcs are emptied when they reach these sizes.
-MAX_WORDS, MAX_ARCS = 1_000_000, 1_000_000
+MAX_WORDS, MAX_ARCS = 400_000, 400_000
 START = -1
 #: Where a node of the byte trie keeps its token.
 TOKEN = -1
@@ -69,23 +69,27 @@ class Automaton:
                 live.add(ab)
         self.live = sorted(live)
         self.longest = max(self.size)
-        self._trie()
-
-    def _trie(self) -> None:
-        """The byte trie of all live tokens: nested tables by byte, the token itself under TOKEN."""
         self.root: dict[int, dict] = {}
+
+    def trie(self) -> dict[int, dict]:
+        """The byte trie of all live tokens: nested tables by byte, the token itself under TOKEN.
+
+        Made when a word is first encoded; decoding does without.
+        """
+        if self.root:
+            return self.root
         for t in self.live:
             node = self.root
             for byte in self.labels[t]:
                 node = node.setdefault(byte, {})
             node[TOKEN] = t
+        return self.root
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("root", "arcs")}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, arcs={})
-        self._trie()
+        self.__dict__.update(state, arcs={}, root={})
 
     def _arc(self, p: int, x: int) -> bool:
         """Whether the state after token ``p`` has an arc ``x``, by the history of its gadgets."""
@@ -111,7 +115,7 @@ class Automaton:
         the same token, as the prefix up to there is accepted in one way only, so a place that
         leads nowhere is never tried twice and the search is linear in the word.
         """
-        n, arcs, root = len(word), self.arcs, self.root
+        n, arcs, root = len(word), self.arcs, self.root or self.trie()
         if len(arcs) > MAX_ARCS:
             arcs.clear()
         path: list[int] = []
@@ -212,7 +216,7 @@ class Tokens:
 
     def __init__(self, automaton: Automaton, unlike: str) -> None:
         self.automaton, self.words = automaton, _Words(automaton)
-        self.pattern, self.exact, self.odd = splitter(""), splitter(unlike), frozenset(unlike)
+        self.pattern, self.exact, self.odd = splitter(""), None, frozenset(unlike)
         marks = sorted(automaton.special, key=len, reverse=True)
         self.marks = marks and regex.compile("(" + "|".join(map(regex.escape, marks)) + ")")
 
@@ -228,7 +232,9 @@ class Tokens:
         return b"".join(out)
 
     def _words(self, text: str) -> bytes:
-        pattern = self.pattern if _latin(text) or self.odd.isdisjoint(text) else self.exact
+        pattern = self.pattern
+        if not _latin(text) and not self.odd.isdisjoint(text):
+            pattern = self.exact = self.exact or splitter("".join(sorted(self.odd)))
         return b"".join(map(self.words.__getitem__, pattern.findall(text)))
 
 
@@ -289,6 +295,7 @@ class Tokenizer:
                     ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
                     yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(ends, flat)], names=names)
+            own.words.clear()  # a worker that goes on with other work does not keep them
 
         rest = [c for c in docs.columns if c not in (text, ids)]
         names = [*rest, ids]
