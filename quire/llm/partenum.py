@@ -250,7 +250,9 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     scratch = Scratch(spark, "similar")
     own = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = own.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    share = 2.5 * (100 - percent) / (100 + percent) / 6  # signatures per byte, about
+    # signatures per byte, about: one for each difference and band, half as many again in subsets, a word in six bytes
+    rate = 2 * (100 - percent) / (100 + percent)
+    share = 2.5 * rate * (1.5 if rate * SUBSETS_BELOW > 1 else 1) / 6
     buckets = max(8, int(size * share / passes / bucket) + 1)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     described = scratch.write(numbered(rows).mapInArrow(_describe(words), DOCS), "described")
