@@ -1,10 +1,12 @@
 """Line-level duplicates by pairwise alignment: what a later document repeats of an earlier one goes.
 
-Overlapping documents are found through rare lines that they share: each repeated line points to
-the first document that holds it, and a document is compared with the documents that its rarest
-repeated lines point to. Pairs are aligned with patience diff over the repeated lines; aligned
-blocks of enough characters are deleted from the later document. A document names at most as many
-partners as it has lines, so copies of any number make no more pairs than they have lines.
+Overlapping documents are found through what they share: each repeated line, and each shortest run
+of repeated lines that has enough characters to be deleted, points to the first document that holds
+it. A document is compared with the documents that its rarest repeated lines and all its runs point
+to, so every block that it repeats from an earlier document has a partner that holds the run through
+each of its lines. Pairs are aligned with patience diff over the repeated lines; aligned blocks of
+enough characters are deleted from the later document. A line opens one run and closes one, so a
+document names at most three partners per line and copies of any number make no more pairs than that.
 """
 
 from __future__ import annotations
@@ -13,13 +15,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import Scratch, pick, whole
+from quire.llm.base import Scratch, numbered, pick, whole
+from quire.llm.shingles import U, mix, powers
 
 #: A line is rare in a document if it is at most so many times as frequent as the document's rarest repeated line.
+#: Only rare lines name a partner by themselves; runs of ``MIN_CHARS`` do so at any frequency.
 RARE = 8
 #: Characters, line ends included, from which an aligned block is deleted.
 MIN_CHARS = 100
@@ -84,6 +89,44 @@ def blocks(a: list[tuple], b: list[tuple], min_chars: int) -> list[tuple[int, in
     return out
 
 
+def run_hashes(pos: np.ndarray, h: np.ndarray, chars: np.ndarray, ink: np.ndarray, doc: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every shortest run of adjacent lines with ``min_chars``, from its first line and to its last.
+
+    Any block that two documents share holds for each of its lines such a run with that line.
+    """
+    n = len(pos)
+    new = np.ones(n, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    part = np.cumsum(new)
+    size, inked = (np.concatenate(([0], np.cumsum(v))) for v in (chars.astype(np.int64) + 1, ink.astype(np.int64)))
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(h.astype(np.int64).view(np.uint64)) * up[:n], out=total[1:])
+    from_, to = np.arange(n), np.arange(1, n + 1)
+    first = np.concatenate([from_, np.searchsorted(size, size[to] - min_chars, "right") - 1])
+    end = np.concatenate([np.searchsorted(size, size[from_] + min_chars, "left"), to])
+    ok = (first >= 0) & (end <= n)
+    first, end = first[ok], end[ok]
+    ok = (part[first] == part[end - 1]) & (inked[end] > inked[first])
+    first, end = first[ok], end[ok]
+    return doc[first], mix((total[end] - total[first]) * down[first], 3).view(np.int64)
+
+
+def _runs(min_chars: int):
+    """(k, lines) -> (r, k), once per document and run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            pos, h, chars, ink = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            doc, r = np.unique(np.stack(run_hashes(pos, h, chars, ink, doc, min_chars), 1), axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r)), batch.column(0).take(pa.array(np.ascontiguousarray(doc)))], names=["r", "k"])
+
+    return run
+
+
 def _aligned(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -114,7 +157,7 @@ def common_blocks(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CHA
         within.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("ink").alias("ink")).filter("n > 1"), "held"
     )
     kept = lines.select("k", "pos", "h", "chars").join(held, "h")
-    entry = F.struct("pos", "h", "chars")
+    entry = F.struct("pos", "h", "chars", (F.col("ink") > 0).alias("inked"))
     points = F.when((F.col("ink") > 0) & (F.col("first") < F.col("k")), F.struct("n", "first"))
     listed = scratch.write(
         kept.groupBy("k").agg(F.array_sort(F.collect_set(entry)).alias("lines"), F.collect_set(points).alias("points")), "listed"
@@ -123,6 +166,11 @@ def common_blocks(docs: DataFrame, *, rare: int = RARE, min_chars: int = MIN_CHA
     pairs = listed.filter(F.size("points") > 0).withColumn("least", least).select(
         "k", F.explode(F.array_distinct(F.transform(F.filter("points", lambda p: p["n"] <= rare * F.col("least")), lambda p: p["first"]))).alias("a")
     )
+    # the first document of every run that is long enough to be deleted; combines map-side as well
+    runs = numbered(listed.select("k", "lines")).mapInArrow(_runs(min_chars), "r long, k struct<none:boolean,id:long,text:long>")
+    of_run = runs.groupBy("r").agg(F.min("k").alias("a"), F.max("k").alias("z")).filter(F.col("a") < F.col("z")).select("r", "a")
+    by_run = runs.join(of_run.hint("merge"), "r").filter(F.col("a") < F.col("k")).select("k", "a")
+    pairs = pairs.union(by_run).distinct()
     mine = listed.select(F.col("k").alias("b"), F.col("lines").alias("own"))
     theirs = listed.select(F.col("k").alias("a"), F.col("lines").alias("earlier"))
     both = pairs.withColumnRenamed("k", "b").join(theirs, "a").join(mine, "b").select("b", "earlier", "own")
