@@ -1,10 +1,12 @@
 """Line dedup: every block that an earlier document holds finds a partner, however frequent its lines are."""
 
 import random
+from collections import Counter
 
 from helpers import docs
+from test_line_dedup import corpus
 
-from quire.llm.line_dedup import MIN_CHARS, without_common_blocks
+from quire.llm.line_dedup import MIN_CHARS, blocks, without_common_blocks
 
 
 def line(rng, n=40):
@@ -27,3 +29,23 @@ def test_frequent_passage_beside_a_rare_line(spark):
     assert not any(x in got[30][0] for x in passage) and rare in got[30][0]
     blank = removed(spark, ["\n".join([line(rng), *[""] * 200, line(rng)]) for _ in range(3)])
     assert all(n == 0 for _, n in blank.values())
+
+
+def test_block_whose_lines_are_held_apart_before(spark):
+    rng = random.Random(2)
+    one, two = line(rng, 60), line(rng, 60)
+    texts = ["\n".join([line(rng), one, line(rng)]), "\n".join([line(rng), two, line(rng)])]
+    texts += ["\n".join([line(rng), one, two, line(rng)]) for _ in range(2)]
+    got = removed(spark, texts)
+    assert [got[d][1] for d in range(4)] == [0, 0, 0, 2]
+
+
+def test_like_all_earlier_documents(spark):
+    texts = corpus()
+    lines = [(t or "").split("\n") for t in texts]
+    count = Counter(x for ls in lines for x in set(ls))
+    own = [[(p, x, len(x)) for p, x in enumerate(ls) if count[x] > 1] for ls in lines]
+    got = removed(spark, texts)
+    for d, ls in enumerate(lines):
+        gone = {p for a in range(d) for first, last in blocks(own[a], own[d], MIN_CHARS) for p in range(first, last + 1)}
+        assert got[d] == ("\n".join(x for p, x in enumerate(ls) if p not in gone), len(gone))
