@@ -53,8 +53,37 @@ def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common_run(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of the longest run that both lists hold; of equally long ones one in the middle, so that the rest halves.
+
+    The length is searched by bisection over hashes of all runs, so lists of one line repeated stay cheap.
+    """
+    number = {v: k for k, v in enumerate(dict.fromkeys(a))}
+    if number.keys().isdisjoint(b):
+        return []
+    up, down = powers(max(len(a), len(b)) + 1)
+    total = []
+    for v in (a, b):
+        total.append(np.zeros(len(v) + 1, np.uint64))
+        np.cumsum(mix(np.array([number.get(x, len(a)) for x in v], np.uint64)) * up[: len(v)], out=total[-1][1:])
+    runs = lambda n: [(t[n:] - t[: len(t) - n]) * down[: len(t) - n] for t in total]
+    low, high = 1, min(len(a), len(b))
+    while low < high:
+        n = (low + high + 1) // 2
+        low, high = (n, high) if len(np.intersect1d(*runs(n))) else (low, n - 1)
+    in_a, in_b = runs(low)
+    js = np.flatnonzero(np.isin(in_b, in_a))
+    j = int(js[len(js) // 2])
+    starts = np.flatnonzero(in_a == in_b[j])
+    i = int(starts[len(starts) // 2])
+    return [(i + k, j + k) for k in range(low) if a[i + k] == b[j + k]]
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Patience diff: matched places of two lists, in order; between anchors the search is repeated."""
+    """Patience diff: matched places of two lists, in order; between anchors the search is repeated.
+
+    Where no line is unique on both sides, the longest common run is the anchor.
+    """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -67,7 +96,7 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         if a0 == a1 or b0 == b1:
             continue
         i0, j0 = a0, b0
-        found = [(a0 + i, b0 + j) for i, j in anchors(a[a0:a1], b[b0:b1])]
+        found = [(a0 + i, b0 + j) for i, j in anchors(a[a0:a1], b[b0:b1]) or common_run(a[a0:a1], b[b0:b1])]
         for i, j in [*found, (a1, b1)] if found else []:
             todo.append((i0, i, j0, j))
             if i < a1 and j < b1:

@@ -6,7 +6,7 @@ from collections import Counter
 from helpers import docs
 from test_line_dedup import corpus
 
-from quire.llm.line_dedup import MIN_CHARS, blocks, without_common_blocks
+from quire.llm.line_dedup import MIN_CHARS, align, blocks, without_common_blocks
 
 
 def line(rng, n=40):
@@ -49,3 +49,15 @@ def test_like_all_earlier_documents(spark):
     for d, ls in enumerate(lines):
         gone = {p for a in range(d) for first, last in blocks(own[a], own[d], MIN_CHARS) for p in range(first, last + 1)}
         assert got[d] == ("\n".join(x for p, x in enumerate(ls) if p not in gone), len(gone))
+
+
+def test_repeated_passages_are_aligned(spark):
+    assert align([1, 2, 8, 1, 2], [9, 1, 2, 7]) == [(3, 1), (4, 2)]
+    assert align([8, 1, 2, 3, 7, 1, 2, 3, 6], [5, 1, 2, 3, 4, 1, 2, 3, 9]) == [(1, 1), (2, 2), (3, 3), (5, 5), (6, 6), (7, 7)]
+    assert align([1, 2, 6, 1, 2, 3, 4, 7, 3, 4, 5], [9, 1, 2, 3, 4, 8]) == [(3, 1), (4, 2), (5, 3), (6, 4)]
+    assert align([1, 2] * 20_000, [2, 2, 1, 1] * 10_000)  # no anchors anywhere, and yet soon done
+    rng = random.Random(3)
+    passage = [line(rng) for _ in range(4)]
+    twice = ["\n".join([line(rng), *passage, line(rng), *passage, line(rng)]) for _ in range(2)]
+    got = removed(spark, [*twice, "\n".join([line(rng), *passage, line(rng)])])
+    assert [got[d][1] for d in range(3)] == [0, 8, 4]
