@@ -110,8 +110,14 @@ def _in_pass(key: np.ndarray, part: int, passes: int) -> np.ndarray:
     return low if part == passes - 1 else low & (key < U((part + 1) * step))
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows (id, text hash, bytes, ...) gathered until they hold enough bytes, in the order of documents."""
+def _documents(rows: list[tuple]) -> list[tuple]:
+    """Rows in the order of documents; of rows of one document the first, as it is no repeat of itself."""
+    rows = sorted(rows, key=lambda r: r[:2])
+    return [r for k, r in enumerate(rows) if not k or r[:2] != rows[k - 1][:2]]
+
+
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (id, text hash, bytes, ...) gathered until they hold enough bytes, one of a document, in the order of documents."""
     held, size = [], 0
     for batch in batches:
         for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
@@ -119,10 +125,10 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             held.append(row)
             size += len(row[2])
             if size >= FLUSH:
-                yield sorted(held, key=lambda r: r[:2])
+                yield _documents(held)
                 held, size = [], 0
     if held:
-        yield sorted(held, key=lambda r: r[:2])
+        yield _documents(held)
 
 
 def _samples(length: int, part: int, passes: int, buckets: int, by_doc: int):

@@ -67,6 +67,15 @@ def test_edges(spark):
     assert {r.doc_id: r.n_removed for r in without_repeats(docs(spark, [long, long[1000:]])).collect()} == {0: 0, 1: 299_000}
 
 
+def test_repeated_rows_in_one_task(spark):
+    rng = random.Random(5)
+    text, other, passage = ("".join(rng.choices("abcdefgh ", k=400)) for _ in range(3))
+    texts, ids = [text, text, text, None, other, other, passage + other, passage, passage], [5, 5, None, None, None, None, 9, 3, 3]
+    want = [("3", 0), ("3", 0), ("5", 0), ("5", 0), ("9", 400), ("None", 0), ("None", 400), ("None", 400), ("None", 400)]
+    for table in (docs(spark, texts, ids=ids).coalesce(1), docs(spark, texts, ids=ids).repartition(9)):
+        assert sorted((str(r.doc_id), r.n_removed) for r in without_repeats(table).collect()) == want
+
+
 def test_block_reads_what_is_there():
     texts = [b"a" * 100, b"", bytes(range(250)) * 3, b"z" * 150]
     block = Block(texts, 100)
