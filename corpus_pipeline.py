@@ -42,11 +42,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents, the one with the smallest doc_id of its group stays."""
+    """Of near-duplicate documents, the one with the smallest doc_id of its group stays.
+
+    A document is its doc_id and text: others with the same doc_id, or none, are not affected.
+    """
     own = pick(docs, *COLUMNS)
     found = similar_documents(own, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"))
-    return own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select(*COLUMNS)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))
+    return own.join(gone.hint("merge"), same, "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

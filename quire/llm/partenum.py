@@ -104,8 +104,8 @@ def _parities(sketches: list[bytes], coarse: bool) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), width)
 
 
-DOCS = "row long, doc_id long, n long, cid long, cid2 long, sketch binary"
-_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
+DOCS = "row long, doc_id long, text_hash long, n long, cid long, cid2 long, sketch binary"
+_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
 SIGNED = "bucket int, packed binary"
 
 
@@ -115,16 +115,16 @@ def class_of(u: np.ndarray, salt: int = 21) -> int:
 
 
 def _describe(words: int):
-    """(row, doc_id, text) -> what is known of each document's set."""
+    """(row, doc_id, text_hash, text) -> what is known of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 u = shingle_set(text or "", words)
                 made.append((len(u), class_of(u), class_of(u, 22), sketch(u)) if len(u) else (0, None, None, None))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[2:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], schema=_DOC)
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[3:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], schema=_DOC)
 
     return run
 
@@ -237,7 +237,7 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, passes: int = PASSES, bucket: int = BUCKET) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
+    """(row, doc_id, text_hash, n_shingles, component_id) for every row of ``docs(doc_id, text)``.
 
     Two documents link when their sets of distinct ``words``-word shingles (A-Z lower-cased; the
     whole sequence as one if it is shorter) have a Jaccard similarity of ``percent`` percent or
@@ -254,7 +254,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     rate = 2 * (100 - percent) / (100 + percent)
     share = 2.5 * rate * (1.5 if rate * SUBSETS_BELOW > 1 else 1) / 6
     buckets = max(8, int(size * share / passes / bucket) + 1)
-    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     described = scratch.write(numbered(rows).mapInArrow(_describe(words), DOCS), "described")
     names = []
     for part in range(passes):
@@ -334,5 +334,5 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     place = named.join(least, "comp").select("cid", "component")
     place = classes.select("cid", "least").join(place, "cid", "left").select(F.col("cid").alias("c"), F.coalesce("component", "least").alias("component"))
     return described.join(place, F.col("cid") == F.col("c"), "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+        "row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     )

@@ -79,3 +79,11 @@ def test_odd_tables(spark):
         for _, stage in cp.STAGES[:4]:
             table = spark.createDataFrame(stage(spark, table, "").collect(), pick(table, *cp.COLUMNS).schema)
         assert cp.tokenise(spark, table, "").count() == table.count() == 0 if None in texts or not texts else True
+
+
+def test_near_dedup_rows_that_share_a_doc_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, texts = " ".join([*base, "more"]), ["clean one of its own", "another clean text here"]
+    table = docs(spark, [" ".join(base), near, texts[0], near + " still", texts[1]], ids=[1, None, None, 4, 4])
+    got = cp.near_dedup(spark, table, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", " ".join(base)), ("4", texts[1]), ("None", texts[0])]
