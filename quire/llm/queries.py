@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from quire.llm.base import table
 from quire.llm.bpe import Tokenizer
+from quire.llm.codes import CODES_SQL, report
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
 from quire.llm.forest import NEAR_SQL, near_vectors
 from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
 from quire.llm.line_dedup import without_common_blocks
+from quire.llm.merkle import MANIFEST_SQL, audited, proof
 from quire.llm.mixing import MIX_SQL, mix
 from quire.llm.partenum import similar_documents
 from quire.llm.pii import digest, find_disclosures
+from quire.llm.repeats import without_repeats
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir))
 
-from quire.llm.repeats import without_repeats
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -75,5 +77,15 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op4_near_vectors, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe)}
-ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op4_near_vectors": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(table(spark, sf_dir)).select(
+        "doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op4_near_vectors, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe, op11_merkle, op12_codes)}
+ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op4_near_vectors": NEAR_SQL, "op9_exact_dedup": EXACT_SQL, "op11_merkle": MANIFEST_SQL, "op12_codes": CODES_SQL}
