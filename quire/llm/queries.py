@@ -10,6 +10,7 @@ from quire.llm.base import table
 from quire.llm.bpe import Tokenizer
 from quire.llm.codes import CODES_SQL, report
 from quire.llm.exact_dedup import EXACT_SQL, exact_duplicates
+from quire.llm.factors import without_repeated_passages
 from quire.llm.forest import NEAR_SQL, near_vectors
 from quire.llm.language import held_out, identify, train
 from quire.llm.licenses import licenses_sql, scan_licenses
@@ -87,5 +88,9 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op4_near_vectors, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe, op11_merkle, op12_codes)}
+def op13_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_passages(table(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_licenses, op4_near_vectors, op5_repeats, op6_ngram_join, op7_language, op8_line_dedup, op9_exact_dedup, op10_bpe, op11_merkle, op12_codes, op13_factors)}
 ORACLES = {"op2_mixing": MIX_SQL, "op3_licenses": licenses_sql(), "op4_near_vectors": NEAR_SQL, "op9_exact_dedup": EXACT_SQL, "op11_merkle": MANIFEST_SQL, "op12_codes": CODES_SQL}
