@@ -31,6 +31,8 @@ from quire.llm.shingles import _BYTE, _SPACE, U, mix, powers
 WORDS, RUN = 35, 12
 #: Passes over the text, windows that a range holds on average, and bytes of text that a task indexes at once.
 PASSES, RANGE, BLOCK = 3, 1_000_000, 8_000_000
+#: Bytes of text that are hashed at once.
+PIECE = 500_000
 #: Ranges by document in which factors meet hold so many bytes of text on average.
 DOC_BYTES = 16_000_000
 LAST = 2**63 - 1
@@ -48,18 +50,28 @@ class Block:
 
     def __init__(self, texts: list) -> None:
         """``texts``: buffers of UTF-8 bytes."""
-        # a space between documents ends words; it belongs to none
-        raw = np.frombuffer(b" ".join(bytes(t) for t in texts) + b" ", np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True])).astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        up, down = powers(len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        self.words = mix((total[end] - total[start]) * down[start], 3)
-        self.doc = np.searchsorted(ends, start, "right").astype(np.uint32)
+        parts, own, at = [], [], 0
+        while at < len(texts):
+            # so many documents at a time that what hashing needs for each byte stays small
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to]) < PIECE):
+                held += len(texts[to]) + 1
+                to += 1
+            # a space between documents ends words; it belongs to none
+            raw = np.frombuffer(b" ".join(bytes(t) for t in texts[at:to]) + b" ", np.uint8)
+            ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True])).astype(np.int8)))
+            start, end = edge[::2], edge[1::2]
+            up, down = powers(len(raw))
+            total = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+            parts.append(mix((total[end] - total[start]) * down[start], 3))
+            own.append((np.searchsorted(ends, start, "right") + at).astype(np.uint32))
+            at = to
+        self.words = np.concatenate([np.zeros(0, np.uint64), *parts])
+        self.doc = np.concatenate([np.zeros(0, np.uint32), *own])
         first = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.pos = (np.arange(len(start)) - first[self.doc]).astype(np.int32)
+        self.pos = (np.arange(len(self.doc)) - first[self.doc]).astype(np.int32)
 
     def runs(self, size: int, salt: int) -> np.ndarray:
         """Hashes of all runs of ``size`` words, by start; those over the end of a document stand for nothing."""
