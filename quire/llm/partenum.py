@@ -38,7 +38,7 @@ FINE = 8
 #: Signatures that one bucket of the exchange holds on average; members of a signature that are compared as one block.
 BUCKET, BLOCK = 1_000_000, 2048
 #: Passes over the text, each for one range of signatures: what is on disk at once is a fixed fraction of the text.
-PASSES = 3
+PASSES = 2
 
 
 @cache
@@ -107,6 +107,9 @@ def _parities(sketches: list[bytes], coarse: bool) -> np.ndarray:
 DOCS = "row long, doc_id long, text_hash long, n long, cid long, cid2 long, sketch binary"
 _DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
 SIGNED = "bucket int, packed binary"
+MEMBERS = "sig long, cid long, first long, members long"
+#: Class numbers that may stand for several sets.
+MOST_SPLIT = 10_000
 
 
 def class_of(u: np.ndarray, salt: int = 21) -> int:
@@ -114,6 +117,12 @@ def class_of(u: np.ndarray, salt: int = 21) -> int:
     return int(mix(u, salt).sum().view(np.int64))
 
 
+def name_of(u: np.ndarray, split: frozenset[int]) -> int:
+    """The class number of a set; 64 bits more are mixed in where one number came up for several sets."""
+    cid = class_of(u)
+    return cid ^ class_of(u, 22) if cid in split else cid
+
+
 def _describe(words: int):
     """(row, doc_id, text_hash, text) -> what is known of each document's set."""
 
@@ -129,7 +138,7 @@ def _describe(words: int):
     return run
 
 
-def _sign(words: int, percent: int, part: int, passes: int, buckets: int):
+def _sign(words: int, percent: int, part: int, passes: int, buckets: int, split: frozenset[int]):
     """(text) -> packed (signature, class) pairs by bucket, for one range of signatures."""
     low, step = part * (2**64 // passes), 2**64 // passes
 
@@ -150,7 +159,7 @@ def _sign(words: int, percent: int, part: int, passes: int, buckets: int):
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
                     u = shingle_set(text or "", words)
-                    cid = class_of(u)
+                    cid = name_of(u, split)
                     if not len(u) or cid in seen:
                         continue
                     seen.add(cid)
@@ -256,22 +265,29 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     buckets = max(8, int(size * share / passes / bucket) + 1)
     rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     described = scratch.write(numbered(rows).mapInArrow(_describe(words), DOCS), "described")
+
+    def classed() -> DataFrame:
+        return described.filter("n > 0").groupBy("cid").agg(
+            F.min("doc_id").alias("least"), F.min("cid2").alias("lo"), F.max("cid2").alias("hi"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
+        )
+
+    classes = scratch.write(classed(), "classes")
+    # one number for several sets: about n * n / 2**65 of n sets, so this list stays short at any size
+    twice = classes.filter("lo <> hi").select("cid").limit(MOST_SPLIT + 1).collect()
+    if len(twice) > MOST_SPLIT:
+        raise ArithmeticError("far too many shingle sets share a 64-bit class number; give the hash another salt")
+    split = frozenset(r["cid"] for r in twice)
+    if split:
+        described = described.withColumn("cid", F.when(F.col("cid").isin(*split), F.col("cid").bitwiseXOR(F.col("cid2"))).otherwise(F.col("cid")))
+        classes = scratch.write(classed(), "split-classes")
     names = []
     for part in range(passes):
         names.append(f"members{part}")
-        signed = own.select("text").mapInArrow(_sign(words, percent, part, passes, buckets), SIGNED)
-        scratch.write(signed.groupBy("bucket").applyInArrow(_shared, "sig long, cid long, first long, members long"), names[-1])
+        signed = own.select("text").mapInArrow(_sign(words, percent, part, passes, buckets, split), SIGNED)
+        scratch.write(signed.groupBy("bucket").applyInArrow(_shared, MEMBERS), names[-1])
         del signed
         scratch.release()
-    members = spark.read.schema("sig long, cid long, first long, members long").parquet(*[scratch.paths[n] for n in names])
-    # a class is one set; that its 64-bit number stands for one set only is checked with 64 more bits
-    classes = described.filter("n > 0").groupBy("cid").agg(
-        F.min("doc_id").alias("least"), F.min("cid2").alias("lo"), F.max("cid2").alias("hi"), F.min("n").alias("n"),
-        F.first("sketch").alias("sketch"),
-    )
-    classes = scratch.write(classes, "classes")
-    if not classes.filter("lo <> hi").isEmpty():
-        raise ArithmeticError("two different shingle sets share a 64-bit class number; give the hash another salt")
+    members = spark.read.schema(MEMBERS).parquet(*[scratch.paths[n] for n in names])
     touched = members.select("cid").distinct()
     meet = scratch.write(classes.join(touched, "cid", "left_semi").select("cid", "least", "n", "sketch"), "meet")
     needed = meet.select(F.col("least").alias("need")).distinct()
@@ -282,7 +298,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 us = [shingle_set(t or "", words) for t in batch.slice(at, 512).column(0).to_pylist()]
-                cid = pa.array([class_of(u) for u in us], pa.int64())
+                cid = pa.array([name_of(u, split) for u in us], pa.int64())
                 yield pa.RecordBatch.from_arrays([cid, pa.array([u.tobytes() for u in us], pa.binary())], names=["cid", "u"])
 
     kept = scratch.write(texts.mapInArrow(sets, "cid long, u binary"), "sets")
@@ -294,7 +310,10 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         full = pairs.join(kept.select(F.col("cid").alias("a"), F.col("u").alias("ua")), "a").join(
             kept.select(F.col("cid").alias("b"), F.col("u").alias("ub")), "b"
         )
-        return scratch.write(full.select("a", "b", "ua", "ub").mapInArrow(_verify(percent), "a long, b long"), name)
+        found = scratch.write(full.select("a", "b", "ua", "ub").mapInArrow(_verify(percent), "a long, b long"), name)
+        scratch.drop(f"{name}-pairs")
+        scratch.release()
+        return found
 
     def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components."""
@@ -315,9 +334,12 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     links = links.unionByName(verified(apart(star.select("a", "b"), state), "other-firsts"))
     state = components(links)
     for step in ("nearest", "rest"):
-        open_ = members.filter("members > 2").join(state, "cid")
-        mixed = open_.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("sig")
-        open_ = open_.join(mixed, "sig", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        # which signatures are still open takes components only; sketches join the members of those alone
+        seen = members.filter("members > 2").select("sig", "cid", "members").join(state.select("cid", "comp"), "cid")
+        mixed = seen.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("sig")
+        still = scratch.write(seen.join(mixed, "sig", "left_semi"), f"{step}-open")
+        scratch.release()
+        open_ = still.join(state.select("cid", "n", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         open_ = open_.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
@@ -326,9 +348,11 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         )
         pairs = dealt.groupBy("sig", "lo", "hi").applyInArrow(_compare(percent, step == "nearest"), "a long, b long")
         found = verified(pairs, step)
+        scratch.drop(f"{step}-open")
         links = links.unionByName(found)
         if not found.isEmpty():
             state = components(links)
+    scratch.drop("sets", "star", "meet", *names)
     named = state.join(classes.select("cid", "least"), "cid")
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     place = named.join(least, "comp").select("cid", "component")
