@@ -6,7 +6,7 @@ from collections import defaultdict
 from helpers import clashing, docs
 from pyspark.sql import functions as F
 
-from quire.llm.line_dedup import MIN_CHARS, RARE, align, blocks, without_common_blocks
+from quire.llm.line_dedup import MIN_CHARS, align, blocks, without_common_blocks
 
 
 def test_align():
@@ -23,21 +23,16 @@ def test_align():
 
 
 def plain(texts):
-    """The same steps over plain lists."""
+    """Each document aligned with every earlier one, over the lines that several documents hold."""
     lines = [None if t is None else t.split("\n") for t in texts]
     where = defaultdict(set)
     for d, ls in enumerate(lines):
         for x in ls or []:
             where[x].add(d)
+    own = [[(p, x, len(x)) for p, x in enumerate(ls or []) if len(where[x]) > 1] for ls in lines]
     out = {}
     for d, ls in enumerate(lines):
-        own = [(p, x, len(x)) for p, x in enumerate(ls or []) if len(where[x]) > 1]
-        points = {(len(where[x]), min(where[x])) for _, x, _ in own if x.strip(" ") and min(where[x]) < d}
-        gone = set()
-        for a in {a for n, a in points if n <= RARE * min(points)[0]}:
-            other = [(p, x, len(x)) for p, x in enumerate(lines[a]) if len(where[x]) > 1]
-            for first, last in blocks(other, own, MIN_CHARS):
-                gone |= set(range(first, last + 1))
+        gone = {p for a in range(d) for first, last in blocks(own[a], own[d], MIN_CHARS) for p in range(first, last + 1)}
         out[d] = ("\n".join(x for p, x in enumerate(ls or []) if p not in gone), len(ls or []), len(gone))
     return out
 
