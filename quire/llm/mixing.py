@@ -68,10 +68,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs
 
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = 7, weight: Column | None = None,
-    whole_documents: bool = False,
+    whole_documents: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """(row, doc_id, tie, source, size, source_size, target, taken) for every row of ``docs(doc_id, text, source)``.
 
+    Columns named in ``carry`` come along from the same row.
+
     ``taken`` counts the words that the mix takes: ``floor(target / source_size)`` whole epochs,
     then documents in key order until the rest of the target is used; the last of them gives the
     words that still fit or, with ``whole_documents``, all of them if its middle lies inside.
@@ -80,12 +82,12 @@ def mix(
     exchangeable. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    own = pick(docs, "doc_id", "text", "source")
+    own = pick(docs, *dict.fromkeys(("doc_id", "text", "source", *carry)))
     rows = scratch.write(
         own.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "source",
             F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("tie"),
-            (-F.log(draw(seed)) / (quality() if weight is None else weight)).alias("key"),
+            (-F.log(draw(seed)) / (quality() if weight is None else weight)).alias("key"), *[F.col(c).alias(f"own_{c}") for c in carry],
         ),
         "rows",
     )
@@ -126,6 +128,7 @@ def mix(
     return full.unionByName(inside.withColumn("part", part)).select(
         "row", "doc_id", "tie", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+        *[F.col(f"own_{c}").alias(c) for c in carry if c not in ("doc_id", "source")],
     )
 
 

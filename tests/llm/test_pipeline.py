@@ -87,3 +87,10 @@ def test_near_dedup_rows_that_share_a_doc_id(spark):
     table = docs(spark, [" ".join(base), near, texts[0], near + " still", texts[1]], ids=[1, None, None, 4, 4])
     got = cp.near_dedup(spark, table, "").collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", " ".join(base)), ("4", texts[1]), ("None", texts[0])]
+
+
+def test_mix_keeps_repeated_rows_apart(spark):
+    """Equal rows stand as often as they came, times the epochs; equal ids with other columns keep those."""
+    rows = [(1, "one two three", "en", "a", 5)] * 3 + [(1, "one two three", "de", "a", 6), (None, "x y", None, "a", None), (None, "x y", None, "a", None)]
+    got = cp.source_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
