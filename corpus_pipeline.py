@@ -21,6 +21,8 @@ from quire.llm.partenum import similar_documents
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share this many percent of their distinct runs of so many words.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
+#: Passes over the texts for the signatures of near duplicates, which are several times the text.
+NEAR_PASSES = 4
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -47,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is its doc_id and text: others with the same doc_id, or none, are not affected.
     """
     own = pick(docs, *COLUMNS)
-    found = similar_documents(own, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    found = similar_documents(own, words=NEAR_WORDS, percent=NEAR_PERCENT, passes=NEAR_PASSES)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))
     return own.join(gone.hint("merge"), same, "left_anti").select(*COLUMNS)
@@ -55,12 +57,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their targets: a document stands as often as the mix takes it whole."""
-    own = pick(docs, *COLUMNS)
-    taken = mix(own, whole_documents=True).filter("taken > 0").select(
-        F.col("doc_id").alias("d"), F.col("tie").alias("t"), (F.col("taken") / F.col("size")).cast("int").alias("times")
-    )
-    both = own.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    taken = mix(pick(docs, *COLUMNS), whole_documents=True, carry=COLUMNS).filter("taken > 0")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
