@@ -36,7 +36,8 @@ PIECE = 500_000
 #: Ranges by document in which factors meet hold so many bytes of text on average.
 DOC_BYTES = 16_000_000
 LAST = 2**63 - 1
-ITEM = np.dtype([("key", "<u8"), ("more", "<u4"), ("doc", "<u4"), ("pos", "<i4"), ("again", "<i4")])
+#: Of a window that its block holds again, ``pos`` is inverted.
+ITEM = np.dtype([("key", "<u8"), ("more", "<u4"), ("doc", "<u4"), ("pos", "<i4")])
 FACTOR = np.dtype([("doc", "<u4"), ("pos", "<i4"), ("n", "<i4"), ("of", "<u4"), ("at", "<i4")])
 DOC = np.dtype([("id", "<i8"), ("text", "<i8")])
 PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("items", pa.binary())])
@@ -95,7 +96,8 @@ class Block:
         if width > step:
             least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
         own = np.flatnonzero(self.doc[: len(key)] == self.doc[words - 1 :]) if len(key) else np.zeros(0, np.int64)
-        return own, key[own], (more[own] >> U(32)).astype(np.uint32), least[own]
+        # the least of many is small; mixed, it is spread evenly again
+        return own, key[own], (more[own] >> U(32)).astype(np.uint32), mix(least[own], 81)
 
 
 def _pack(docs: np.ndarray, items: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[tuple]:
@@ -200,8 +202,8 @@ def _index(words: int, run: int, block: int, part: int, passes: int, ranges: int
             size = np.bincount(group, minlength=len(head))
             first = order[head]
             items = np.zeros(len(first), ITEM)
-            items["key"], items["more"], items["doc"], items["pos"] = key[first], more[first], text.doc[start[first]], text.pos[start[first]]
-            items["again"] = size > 1
+            items["key"], items["more"], items["doc"] = key[first], more[first], text.doc[start[first]]
+            items["pos"] = np.where(size > 1, ~text.pos[start[first]], text.pos[start[first]])
             packed = list(_pack(docs, items, ((items["key"] >> U(32)) * U(ranges) >> U(32)).astype(np.int32), LOOK))
             # of windows that the block holds again, the first refers to the second and all others to the first
             many = size[group] > 1
@@ -224,7 +226,9 @@ def _look_up(by_doc: int):
         docs, items = _unpack(group, LOOK, ITEM)
         order, number, head = _alike(items["key"], items["more"])
         size = np.bincount(number, minlength=len(head))
-        wanted = (size[number] > 1) & (items["again"][order] == 0)
+        again = items["pos"] < 0
+        items["pos"] = np.where(again, ~items["pos"], items["pos"])
+        wanted = (size[number] > 1) & ~again[order]
         member, other = order[wanted], order[head][number][wanted]
         own = member == other
         other[own] = order[head + 1 - (size < 2)][number][wanted][own]
