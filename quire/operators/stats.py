@@ -21,6 +21,29 @@ def rollup_trace(spans: DataFrame) -> DataFrame:
     )
 
 
+def _totals(spans: DataFrame) -> list[Column]:
+    return [
+        F.count("*").alias("calls"), F.sum("elapsed_ms").alias("wall_ms"), *[F.sum(c).alias(c) for c in TOKENS if c in spans.columns],
+        F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"),
+    ]
+
+
+def window_rollup(spans: DataFrame, size: str, slide: str | None = None, *, at: str = "ts") -> DataFrame:
+    """Totals per stage and window of event time: tumbling, or sliding with ``slide``.
+
+    Spans without a time belong to no window. Windows start at multiples of the slide since 1970.
+    """
+    span = F.window(at, size, slide) if slide else F.window(at, size)
+    out = spans.groupBy(span.alias("w"), "stage").agg(*_totals(spans))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c != "w"])
+
+
+def session_rollup(spans: DataFrame, gap: str, by: list[str], *, at: str = "ts") -> DataFrame:
+    """Totals per session: events of the same ``by`` without a pause of ``gap`` or more; it ends ``gap`` after the last."""
+    out = spans.groupBy(F.session_window(at, gap).alias("w"), *by).agg(*_totals(spans))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in out.columns if c != "w"])
+
+
 def page_summary(nodes: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct nodes, semantic edges and visual entities on every page."""
     key = ["doc_id", "page_id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from quire.operators import retrieval_graph as rg
 from quire.plans import order_graph as og
 from quire.plans.order_graph import Tables
 from quire.providers.models import HashedEncoder
-from quire.session import materialize
+from quire.session import materialize, work_root
+from quire.sources import buckets
+from quire.streaming.log_table import LogTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -522,6 +525,28 @@ def trace_rollup(t: Tables) -> DataFrame:
     return r.select("stage", "calls", F.round("wall_ms", 2).alias("wall_ms"), "total_tokens", "llm_calls", "errors")
 
 
+def _by_time(r: DataFrame) -> DataFrame:
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    keys = [c for c in ("stage", "run_id") if c in r.columns]
+    return r.select(show("start"), show("end"), *keys, "calls", F.round("wall_ms", 2).alias("wall_ms"), "total_tokens", "errors")
+
+
+@query
+def trace_tumbling(t: Tables) -> DataFrame:
+    return _by_time(stats.window_rollup(spans(t), "1 hour"))
+
+
+@query
+def trace_sliding(t: Tables) -> DataFrame:
+    return _by_time(stats.window_rollup(spans(t), "2 hours", "30 minutes"))
+
+
+@query
+def trace_sessions(t: Tables) -> DataFrame:
+    """Sessions of every user: a pause of half an hour ends one."""
+    return _by_time(stats.session_rollup(spans(t), "30 minutes", ["run_id"]))
+
+
 @query
 def page_statistics(t: Tables) -> DataFrame:
     nodes, edges = _graph(t)
@@ -581,6 +606,41 @@ def upserted_index(t: Tables) -> DataFrame:
     return store.upsert(base, new, "evidence_id")
 
 
+@query
+def upserted_log(t: Tables) -> DataFrame:
+    """The same as a log table: documents, then pages (twice, as after a failure), compacted, then labels."""
+    log = LogTable(t.spark, f"{work_root(t.spark)}/log-{uuid.uuid4().hex}", "evidence_id")
+    docs = t.documents.select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("payload"), F.col("doc_id").alias("pos"))
+    pages = t.pages.select((F.col("page_id") * 7).alias("evidence_id"), F.col("url").alias("payload"), F.col("page_id").alias("pos"))
+    grades = t.labels.select(F.col("doc_id").alias("evidence_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("payload"), F.col("doc_id").alias("pos"))
+    log.append(docs, 0)
+    log.append(pages, 1)
+    log.append(pages, 1)
+    log.compact()
+    log.append(docs, 0)
+    log.append(grades, 2)
+    return log.read().select("evidence_id", "payload", F.col("batch").cast("bigint").alias("batch"), "pos")
+
+
+@query
+def vector_lookup(t: Tables) -> DataFrame:
+    """The vector of the card that every order would have as a page of ASIA, found or not."""
+    vectors = og.og_card_vectors(t).select("evidence_id", "vector")
+    rows = t.orders.count() + t.lineitem.count()
+    index = buckets.store(vectors, f"{work_root(t.spark)}/vectors-{uuid.uuid4().hex}", "evidence_id", buckets.bucket_count(rows))
+    asked = t.orders.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("page:ASIA:"), F.col("o_orderkey").cast("string")).alias("evidence_id"))
+    got = buckets.lookup(asked, index, "evidence_id", "vector")
+    return got.select("pos", "evidence_id", "found", F.size("vector").cast("bigint").alias("dim"), F.round(F.element_at("vector", 1).cast("double"), 6).alias("head"))
+
+
+@query
+def vector_topk_on_pages(t: Tables) -> DataFrame:
+    """Entities and relations that stand on at least one page of an urgent order."""
+    urgent = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("page_id"))
+    pages = og.og_pages(t).join(urgent, "page_id", "left_semi").select("doc_id", "page_id")
+    return _search(t, knn.on_pages(og.og_card_vectors(t), og.og_incidence(t), pages), 10)
+
+
 @query
 def graph_neighbours(t: Tables) -> DataFrame:
     _, edges = _graph(t)

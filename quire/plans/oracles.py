@@ -148,6 +148,19 @@ oracle(
     "vector_topk_filtered",
     _SEARCH.format(where="c.evidence_type IN ('entity', 'relation') AND c.doc_id IN ('ASIA', 'EUROPE')", k=10),
 )
+oracle(
+    "vector_topk_on_pages",
+    _SEARCH.format(
+        where="""c.evidence_id IN (SELECT i.evidence_id FROM og_incidence i JOIN og_pages p ON i.doc_id = p.doc_id AND i.page_id = p.page_id
+    JOIN orders o ON p.page_id = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT')""", k=10,
+    ),
+)
+oracle(
+    "vector_lookup",
+    """
+SELECT o_orderkey AS pos, 'page:ASIA:' || o_orderkey AS evidence_id, c.evidence_id IS NOT NULL AS found, len(c.vector) AS dim, round(c.vector[1], 6) AS head
+FROM orders LEFT JOIN og_cards c ON c.evidence_id = 'page:ASIA:' || o_orderkey""",
+)
 oracle(
     "vector_topk",
     """

@@ -224,6 +224,29 @@ SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS wall_ms,
        count(*) FILTER (event_type = 'error') AS errors
 FROM events GROUP BY ROLLUP (event_type)""",
 )
+_TIME = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+_SUMS = """count(*) AS calls, round(sum(value), 2) AS wall_ms, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_tokens,
+  count(*) FILTER (event_type = 'error') AS errors"""
+oracle(
+    "trace_tumbling",
+    f"""
+SELECT {_TIME.format(c='s')} AS "start", {_TIME.format(c="s + INTERVAL 1 HOUR")} AS "end", event_type AS stage, {_SUMS}
+FROM (SELECT *, date_trunc('hour', ts) AS s FROM events) GROUP BY s, event_type""",
+)
+oracle(
+    "trace_sliding",
+    f"""
+SELECT {_TIME.format(c='s')} AS "start", {_TIME.format(c="s + INTERVAL 2 HOURS")} AS "end", event_type AS stage, {_SUMS}
+FROM (SELECT e.*, date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTES ELSE INTERVAL 0 MINUTES END - k * INTERVAL 30 MINUTES AS s
+  FROM events e, range(4) r(k)) GROUP BY s, event_type""",
+)
+oracle(
+    "trace_sessions",
+    f"""
+SELECT {_TIME.format(c='min(ts)')} AS "start", {_TIME.format(c="max(ts) + INTERVAL 30 MINUTES")} AS "end", CAST(user_id AS VARCHAR) AS run_id, {_SUMS}
+FROM (SELECT *, sum(CASE WHEN ts < before + INTERVAL 30 MINUTES THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
+  SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, n""",
+)
 oracle(
     "page_statistics",
     """
@@ -281,6 +304,15 @@ SELECT coalesce(d.doc_id, p.page_id * 7) AS evidence_id, coalesce(p.url, d.sourc
        CAST(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END AS INTEGER) AS batch, coalesce(d.doc_id, p.page_id) AS pos
 FROM documents d FULL JOIN pages p ON d.doc_id = p.page_id * 7""",
 )
+oracle(
+    "upserted_log",
+    """
+SELECT coalesce(b.evidence_id, l.doc_id) AS evidence_id, coalesce('quality ' || l.quality, b.payload) AS payload,
+       CAST(coalesce(b.batch, 2) AS BIGINT) AS batch, coalesce(b.pos, l.doc_id) AS pos
+FROM (SELECT coalesce(d.doc_id, p.page_id * 7) AS evidence_id, coalesce(p.url, d.source) AS payload, CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END AS batch,
+        coalesce(d.doc_id, p.page_id) AS pos
+      FROM documents d FULL JOIN pages p ON d.doc_id = p.page_id * 7) b FULL JOIN labels l ON b.evidence_id = l.doc_id""",
+)
 oracle(
     "graph_neighbours",
     """SELECT src_id AS entity_id, edge_id, tgt_id AS neighbour_id FROM og_all_edges

@@ -1,21 +1,21 @@
-"""Incremental forms of the trace roll-up, the index upsert and the saturation state."""
+"""Incremental forms of the trace roll-up, whole and by event time, the index upsert and the saturation state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quire.operators.patch import REOPENING, SATURATING
-from quire.operators.stats import TOKENS
-from quire.operators.store import upsert
+from quire.operators.stats import TOKENS, session_rollup, window_rollup
 from quire.schemas import SPAN, struct
 from quire.sources.workspace import Workspace
+from quire.streaming.log_table import LogTable
 
 
 def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,54 +32,83 @@ def running_rollup(spans: DataFrame) -> DataFrame:
     )
 
 
-def upsert_stream(cards: DataFrame, ws: Workspace, table: str, checkpoint: str, *, key: str = "evidence_id") -> StreamingQuery:
-    """Keep ``table`` up to date with a stream of cards; the newest version of a key wins.
+def window_stream(spans: DataFrame, size: str, slide: str | None = None, *, late: str, at: str = "ts") -> DataFrame:
+    """Roll-up per event-time window; write with output mode ``append``.
 
-    ``cards`` carries ``pos``, its order inside a batch. Each micro-batch is one merge; a
-    batch that is replayed after a failure merges to the same table.
+    A window is final once the newest event is ``late`` past its end: what comes for it after
+    that is dropped, and its state goes.
     """
+    return window_rollup(spans.withWatermark(at, late), size, slide, at=at)
+
+
+def session_stream(spans: DataFrame, gap: str, by: list[str], *, late: str, at: str = "ts") -> DataFrame:
+    """Roll-up per run of events without a pause of ``gap``; late events as in ``window_stream``."""
+    return session_rollup(spans.withWatermark(at, late), gap, by, at=at)
+
+
+def upsert_stream(cards: DataFrame, ws: Workspace, table: str, checkpoint: str, *, key: str = "evidence_id", compact_every: int = 16) -> StreamingQuery:
+    """Keep the log table ``table`` up to date with a stream of cards; the newest version of a key wins.
+
+    ``cards`` carries ``pos``, its order inside a batch. A micro-batch writes its own rows only,
+    and one that is replayed after a failure just overwrites those. Read with ``stored``.
+    """
+    log = stored(ws, table, key=key)
 
     def apply(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        incoming = batch.withColumn("batch", F.lit(number).cast("bigint"))
-        if ws.exists(table):
-            incoming = upsert(ws.load(table), incoming, key)
-        else:
-            incoming = upsert(incoming.limit(0), incoming, key)
-        ws.save(table, incoming)
+        if not batch.isEmpty():
+            log.append(batch, number)
+        if number % compact_every == compact_every - 1:
+            log.compact()
 
     return cards.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def saturation_stream(reviews: DataFrame, *, min_chars: int = 200, min_nodes: int = 3) -> DataFrame:
-    """Saturation state per component, updated with every review.
+def stored(ws: Workspace, table: str, *, key: str = "evidence_id") -> LogTable:
+    return LogTable(ws.spark, ws.path(table), key)
+
+
+class Saturation(StatefulProcessor):
+    """One flag per component; it goes when the component had no review for ``ttl_ms``."""
+
+    def __init__(self, ttl_ms: int | None, min_chars: int, min_nodes: int) -> None:
+        self.ttl_ms, self.min_chars, self.min_nodes = ttl_ms, min_chars, min_nodes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.flag = handle.getValueState("saturated", "saturated boolean", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        on = bool(self.flag.get()[0]) if self.flag.exists() else False
+        # chunks are sorted one by one and merged, so no second copy of a key's rows is made
+        use = ["round", "seq", "status", "guarded", "content_len", "n_nodes"]
+        chunks = [sorted(c[use].itertuples(index=False, name=None), key=lambda r: r[:2]) for c in rows]
+        said: list[tuple[bool, str]] = []
+        for _, _, status, guarded, chars, nodes in merge(*chunks, key=lambda r: r[:2]):
+            was = on
+            if status in SATURATING and guarded and chars > self.min_chars and nodes < self.min_nodes:
+                on = False
+                said.append((on, "deny_sanity"))
+            elif status in SATURATING or status in REOPENING:
+                on = status in SATURATING
+                if on != was:
+                    said.append((on, "saturate" if on else "unsaturate"))
+        self.flag.update((on,))
+        if said:
+            yield pd.DataFrame([(*key, *s) for s in said], columns=["doc_id", "page_id", "component_id", "saturated", "decision"])
+
+    def close(self) -> None:
+        pass
+
+
+def saturation_stream(reviews: DataFrame, *, min_chars: int = 200, min_nodes: int = 3, ttl_ms: int | None = None) -> DataFrame:
+    """Saturation state per component, updated with every review; write with output mode ``update``.
 
     ``reviews(doc_id, page_id, component_id, round, seq, status, guarded boolean,
     content_len, n_nodes)``; emits (doc_id, page_id, component_id, saturated, decision) per
-    change or refusal. The state is one flag per component.
+    change or refusal. Reviews of a micro-batch count in the order of (round, seq). With ``ttl_ms``
+    a component that is not reviewed for so long starts again as not saturated. Needs the RocksDB
+    state store, which ``get_session`` sets.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on = state.get[0] if state.exists else False
-        rows: list[tuple[Any, ...]] = []
-        seen = pd.concat(list(batches)).sort_values(["round", "seq"])
-        for r in seen.itertuples():
-            was = on
-            if r.status in SATURATING and r.guarded and r.content_len > min_chars and r.n_nodes < min_nodes:
-                on, said = False, "deny_sanity"
-            elif r.status in SATURATING:
-                on, said = True, None if was else "saturate"
-            elif r.status in REOPENING:
-                on, said = False, "unsaturate" if was else None
-            else:
-                said = None
-            if said:
-                rows.append((*key, on, said))
-        state.update((on,))
-        yield pd.DataFrame(rows, columns=["doc_id", "page_id", "component_id", "saturated", "decision"])
-
-    return reviews.groupBy("doc_id", "page_id", "component_id").applyInPandasWithState(
-        step, "doc_id string, page_id bigint, component_id string, saturated boolean, decision string",
-        "saturated boolean", "append", GroupStateTimeout.NoTimeout,
+    return reviews.groupBy("doc_id", "page_id", "component_id").transformWithStateInPandas(
+        Saturation(ttl_ms, min_chars, min_nodes), "doc_id string, page_id bigint, component_id string, saturated boolean, decision string",
+        "Update", "ProcessingTime",
     )

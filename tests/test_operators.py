@@ -337,7 +337,7 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(feed)
         src = spark.readStream.schema(schema).json(feed)
         views.upsert_stream(src, ws, "cards", str(tmp_path / "cp")).awaitTermination()
-    got = {r.evidence_id: (r.payload, r.batch, r.pos) for r in ws.load("cards").collect()}
+    got = {r.evidence_id: (r.payload, r.batch, r.pos) for r in views.stored(ws, "cards").read().collect()}
     assert got == {"a": ("2", 0, 0), "b": ("1", 0, 1), "c": ("2", 1, 1)}
 
 
@@ -356,7 +356,7 @@ def test_saturation_stream_equals_batch(spark, tmp_path):
     feed = str(tmp_path / "reviews")
     full.coalesce(1).write.json(feed)
     src = spark.readStream.schema(full.schema).json(feed)
-    q = views.saturation_stream(src).writeStream.outputMode("append").format("memory").queryName("sat").trigger(availableNow=True).start()
+    q = views.saturation_stream(src).writeStream.outputMode("update").format("memory").queryName("sat").trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted((r.component_id, r.decision) for r in spark.table("sat").collect())
     assert got == sorted((r.component_id, r.effect) for r in log.collect())

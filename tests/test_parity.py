@@ -14,6 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUICK = (
     "vector_topk entity_ids edge_ids normalized_relations document_token_sets compacted_documents same_as_components "
     "near_duplicate_collapse hub_filtered_edges layout_components merged_components trace_rollup entity_page_ranges "
+    "upserted_log trace_tumbling trace_sliding trace_sessions vector_lookup vector_topk_on_pages "
     "upserted_index loose_json_values parsed_answers expanded_pages"
 ).split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("QUIRE_PARITY") == "all" else QUICK
