@@ -105,10 +105,12 @@ def saturation_stream(reviews: DataFrame, *, min_chars: int = 200, min_nodes: in
     ``reviews(doc_id, page_id, component_id, round, seq, status, guarded boolean,
     content_len, n_nodes)``; emits (doc_id, page_id, component_id, saturated, decision) per
     change or refusal. Reviews of a micro-batch count in the order of (round, seq). With ``ttl_ms``
-    a component that is not reviewed for so long starts again as not saturated. Needs the RocksDB
-    state store, which ``get_session`` sets.
+    a component that is not reviewed for so long starts again as not saturated; such a stream has
+    a timer to serve at all times, so run it with a processing-time trigger, or with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off for a run that ends. Needs the RocksDB state
+    store, which ``get_session`` sets.
     """
     return reviews.groupBy("doc_id", "page_id", "component_id").transformWithStateInPandas(
         Saturation(ttl_ms, min_chars, min_nodes), "doc_id string, page_id bigint, component_id string, saturated boolean, decision string",
-        "Update", "ProcessingTime",
+        "Update", "None" if ttl_ms is None else "ProcessingTime",
     )

@@ -127,10 +127,11 @@ def test_windows_drop_late_events(spark, tmp_path):
     # the newest event is at 98 minutes and the allowance 30, so windows that end by 68 minutes are closed
     second = [event(10, "s0"), event(59, "s1"), event(66, "s0"), event(110, "s1")]
     late = [r for r in second if r[0] < START + timedelta(minutes=60)]
-    flush = [event(400, "end")]
-    rows = [r for r in first + second if r not in late]
+    # what is late is judged by the watermark that the batch before had
+    between, flush = [event(97, "s1")], [event(400, "end")]
+    rows = [r for r in first + between + second if r not in late]
     for size, slide in (("20 minutes", None), ("20 minutes", "10 minutes")):
-        got = streamed(spark, str(tmp_path / f"f{slide}"), [first, second, flush], lambda s: views.window_stream(s, size, slide, late="30 minutes"), f"win{bool(slide)}")
+        got = streamed(spark, str(tmp_path / f"f{slide}"), [first, between, second, flush], lambda s: views.window_stream(s, size, slide, late="30 minutes"), f"win{bool(slide)}")
         whole = stats.window_rollup(spark.createDataFrame(rows, EVENT), size, slide)
         if slide:  # a late event still counts in a window that is open
             extra = stats.window_rollup(spark.createDataFrame(rows + late, EVENT), size, slide)
@@ -142,8 +143,8 @@ def test_windows_drop_late_events(spark, tmp_path):
 def test_sessions_in_a_stream(spark, tmp_path):
     first = [event(m, "s", run) for run, ms in (("a", [0, 5, 9, 40, 44]), ("b", [3, 30])) for m in ms]
     second = [event(46, "s", "a"), event(1, "s", "b"), event(55, "s", "b")]
-    got = streamed(spark, str(tmp_path / "f"), [first, second, [event(900, "s", "z")]], lambda s: views.session_stream(s, "10 minutes", ["run_id"], late="15 minutes"), "sess")
-    kept = first + [second[0], second[2]]
+    got = streamed(spark, str(tmp_path / "f"), [first, [event(45, "s", "a")], second, [event(900, "s", "z")]], lambda s: views.session_stream(s, "10 minutes", ["run_id"], late="15 minutes"), "sess")
+    kept = first + [event(45, "s", "a"), second[0], second[2]]
     whole = stats.session_rollup(spark.createDataFrame(kept, EVENT), "10 minutes", ["run_id"])
     assert got == sorted(map(tuple, whole.collect()), key=repr) and len(got) == 5
 
@@ -151,11 +152,14 @@ def test_sessions_in_a_stream(spark, tmp_path):
 def test_idle_state_expires(spark, tmp_path):
     feed, schema = str(tmp_path / "feed"), "doc_id string, page_id bigint, component_id string, round int, seq int, status string, guarded boolean, content_len int, n_nodes int"
     said = []
+    # a run over what is there ends only if no batches are made for timers alone
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     for k, pause in enumerate((0, 0, 8)):
         time.sleep(pause)
         spark.createDataFrame([("d", 1, "P1", k, 0, "covered", False, 10, 0)], schema).coalesce(1).write.mode("append").json(feed)
         q = views.saturation_stream(spark.readStream.schema(schema).json(feed), ttl_ms=6000).writeStream.outputMode("update")
         q = q.foreachBatch(lambda df, n: said.append((k, [r.decision for r in df.collect()]))).option("checkpointLocation", str(tmp_path / "cp"))
         q.trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     by = [sum((d for j, d in said if j == k), []) for k in range(3)]
     assert by[0] == ["saturate"] and by[2] == ["saturate"] and by[1] in ([], ["saturate"])
