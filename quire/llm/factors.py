@@ -30,7 +30,7 @@ from quire.llm.shingles import _BYTE, _SPACE, U, mix, powers
 #: Words of a window; words of the runs whose least decides on the pass.
 WORDS, RUN = 35, 12
 #: Passes over the text, windows that a range holds on average, and bytes of text that a task indexes at once.
-PASSES, RANGE, BLOCK = 3, 1_000_000, 8_000_000
+PASSES, RANGE, BLOCK = 5, 1_000_000, 8_000_000
 #: Bytes of text that are hashed at once.
 PIECE = 500_000
 #: Ranges by document in which factors meet hold so many bytes of text on average.
