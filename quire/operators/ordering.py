@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import merge_pair
+from quire.functions.text import appended
 from quire.session import materialize
 
 #: Rows of one group that a task streams at most; only how the work is dealt out depends on it.
@@ -81,7 +81,7 @@ def _stream_fold(rows: DataFrame, keys: list[str], text: str, max_chars: int) ->
             ks, out = batch.column(0), []
             for k, part in zip(ks.to_pylist(), batch.column(1).to_pylist()):
                 if last is not None and k == last:
-                    said = merge_pair(said, part, max_chars)
+                    said = appended(said, part, max_chars)
                     continue
                 if last is not None:
                     out.append((last, said))

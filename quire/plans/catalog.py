@@ -405,7 +405,7 @@ def annotated_components(t: Tables) -> DataFrame:
 
 @query
 def merged_components(t: Tables) -> DataFrame:
-    c = layout.page_components(og.document_pages(t))
+    c = layout.page_components(og.document_pages(t), annotated=False)
     return c.select(
         "doc_id", "component_id", "type", "x0", "y0", "x1", "y1", "merged",
         F.size("block_ids").cast("bigint").alias("n_blocks"), F.md5(F.encode("text_full", "UTF-8")).alias("digest"),

@@ -86,7 +86,7 @@ def test_fold_in_slices(spark, cap):
     want = {}
     for k, _, _, t in sorted(rows, key=lambda r: r[2]):
         if t:
-            want[k] = text.merge_pair(want.get(k, ""), t, cap)
+            want[k] = text.appended(want.get(k, ""), t, cap)
     for size in (7, 100, 10**6):
         got = {r.k: r.t for r in ordering.fold_texts(df, ["k", "j"], "o", "t", cap, slice_rows=size).filter("j IS NOT NULL").collect()}
         assert got == {k: t for k, t in want.items() if k != "odd"}, size
@@ -271,16 +271,22 @@ def test_json(spark):
             assert not strict
 
 
-def test_layout_merge():
+def test_layout_merge(spark):
     def b(i, kind, x0, y0, x1, y1, t="x"):
-        return dict(block_id=i, block_ids=[i], type=kind, x0=x0, y0=y0, x1=x1, y1=y1, score=None, text_full=t, html=None, image_path=None)
-
-    blocks = [b(0, "text", 0, 0, 100, 20, "a"), b(1, "text", 0, 30, 100, 50, "b"), b(2, "text", 60, 60, 160, 80, "c"), b(3, "text", 0, 180, 100, 200, "far"),
-              b(4, "list", 0, 210, 100, 220), b(5, "image", 0, 221, 100, 300, None), b(6, "list", 0, 301, 100, 320), b(7, "list", 0, 317, 100, 330)]
-    out = layout._number(layout.merge_blocks(blocks, 30))
-    assert [(p["component_id"], p["block_ids"]) for p in out] == [("P1", [0, 1]), ("P2", [2]), ("P3", [3]), ("L1", [4]), ("IM1", [5]), ("L2", [6]), ("L3", [7])]
-    assert out[0]["text_full"] == "a b" and out[0]["merged"] and not out[1]["merged"]
-    placed = layout.annotate(out, 300, 330)
+        return (i, kind, float(x0), float(y0), float(x1), float(y1), None, t, None, None)
+
+    blocks = [b(5, "image", 0, 221, 100, 300, None), b(0, "text", 0, 0, 100, 20, "a"), b(1, "text", 0, 30, 100, 50, "b"), b(2, "text", 60, 60, 160, 80, "c"), b(3, "text", 0, 180, 100, 200, "far"),
+              b(4, "list", 0, 210, 100, 220), b(6, "list", 0, 301, 100, 320), b(7, "list", 0, 317, 100, 330), b(8, "odd", 0, 400, 9, 410), b(9, "text", 0, 500, 100, 510, ""), b(10, "text", 0, 511, 100, 520, None)]
+    schema = "raw array<struct<block_id:int,type:string,x0:double,y0:double,x1:double,y1:double,score:double,text_full:string,html:string,image_path:string>>"
+    df = spark.createDataFrame([(blocks,), ([],)], schema)
+    out, none = [r.c for r in df.select(layout.folded(F.col("raw"), F.lit(30)).alias("c")).collect()]
+    assert none == [] and [(p.component_id, p.block_ids) for p in out] == [
+        ("P1", [0, 1]), ("P2", [2]), ("P3", [3]), ("L1", [4]), ("IM1", [5]), ("L2", [6]), ("L3", [7]), ("X1", [8]), ("P4", [9, 10])]
+    assert out[0].text_full == "a b" and out[0].merged and not out[1].merged and out[8].text_full is None
+    assert (out[0].x0, out[0].y0, out[0].x1, out[0].y1) == (0, 0, 100, 50)
+    single = df.select(layout.folded(F.col("raw"), F.lit(30), merge=False).alias("c")).first().c
+    assert [p.block_ids[0] for p in single] == [r[0] for r in blocks] and [p.component_id for p in single][:3] == ["IM1", "P1", "P2"]
+    placed = layout.annotate([p.asDict() for p in out[:8]], 300, 330)
     assert placed[0]["position"] == "upper-left" and placed[0]["neighbours"] == {"below": "P3", "right": "P2"}
 
 
