@@ -15,7 +15,7 @@ the difference from below, in blocks. Every link that decides a component is ver
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ FINE = 8
 BUCKET, BLOCK = 1_000_000, 2048
 #: Passes over the text, each for one range of signatures: what is on disk at once is a fixed fraction of the text.
 PASSES = 2
+#: Ranges of elements; common elements are counted by one range at a time, so that only this share of the sets is moved at once.
+RANGES = 4
 
 
 @cache
@@ -104,8 +106,10 @@ def _parities(sketches: list[bytes], coarse: bool) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), width)
 
 
-DOCS = "row long, doc_id long, text_hash long, n long, cid long, cid2 long, sketch binary"
-_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("cid2", pa.int64()), ("sketch", pa.binary())])
+DOCS = "row long, doc_id long, text_hash long, text_more long, n long, cid long, cid2 long, sketch binary"
+_DOC = pa.schema([*[(c, pa.int64()) for c in ("row", "doc_id", "text_hash", "text_more", "n", "cid", "cid2")], ("sketch", pa.binary())])
+SETS = ", ".join(["cid long", *[f"u{k} binary" for k in range(RANGES)]])
+COMMON = "a long, b long, na long, nb long, inner long"
 SIGNED = "bucket int, packed binary"
 MEMBERS = "sig long, cid long, first long, members long"
 #: Class numbers that may stand for several sets.
@@ -124,16 +128,16 @@ def name_of(u: np.ndarray, split: frozenset[int]) -> int:
 
 
 def _describe(words: int):
-    """(row, doc_id, text_hash, text) -> what is known of each document's set."""
+    """(row, doc_id, text_hash, text_more, text) -> what is known of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text in batch.column(3).to_pylist():
+            for text in batch.column(4).to_pylist():
                 u = shingle_set(text or "", words)
                 made.append((len(u), class_of(u), class_of(u, 22), sketch(u)) if len(u) else (0, None, None, None))
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[3:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], schema=_DOC)
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[4:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], schema=_DOC)
 
     return run
 
@@ -146,6 +150,8 @@ def _sign(words: int, percent: int, part: int, passes: int, buckets: int, split:
         s = np.concatenate(sig)
         both = np.stack([s, np.repeat(np.array(cid, np.int64).view(np.uint64), [len(x) for x in sig])], 1)
         at = np.minimum(((s - U(low)) >> U(32)) // U(max(1, (step >> 32) // buckets)), U(buckets - 1))
+        if buckets < 2**16:  # numbers this short are sorted by their digits
+            at = at.astype(np.uint16)
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(buckets + 1))
         own = [k for k in range(buckets) if ends[k] < ends[k + 1]]
@@ -180,8 +186,13 @@ def _sign(words: int, percent: int, part: int, passes: int, buckets: int, split:
 def _shared(group: pa.Table) -> pa.Table:
     """Of one bucket: the (signature, class, members) whose signature two classes or more have."""
     pairs = np.frombuffer(b"".join(group.column("packed").to_pylist()), np.uint64).reshape(-1, 2)
-    order = np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))
-    pairs = pairs[order]
+    # most signatures come once: those go before the pairs are put in order
+    order = np.argsort(pairs[:, 0])
+    sig = pairs[order, 0]
+    twice = np.zeros(len(sig) + 1, bool)
+    twice[1:-1] = sig[1:] == sig[:-1]
+    pairs = pairs[order[twice[1:] | twice[:-1]]]
+    pairs = pairs[np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))]
     fresh = np.ones(len(pairs), bool)
     fresh[1:] = (pairs[1:] != pairs[:-1]).any(1)
     pairs = pairs[fresh]
@@ -193,17 +204,21 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"sig": sig, "cid": cid, "first": first, "members": np.repeat(size, size)[many].astype(np.int64)})
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                inner = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-                keep.append(100 * inner >= percent * (len(p) + len(q) - inner))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _ranges(u: np.ndarray) -> list[bytes]:
+    """A sorted set, cut at fixed numbers into RANGES stretches."""
+    cut = np.searchsorted(u, np.arange(1, RANGES).astype(np.uint64) * U(2**64 // RANGES))
+    return [x.tobytes() for x in np.split(u, cut)]
 
-    return run
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set, set) -> the sizes of both and of what they share."""
+    for batch in batches:
+        counts = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            counts.append((len(p), len(q), len(p) + len(q) - len(np.unique(np.concatenate((p, q))))))
+        cols = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "na", "nb", "inner"])
 
 
 def _compare(percent: int, nearest: bool):
@@ -263,12 +278,12 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     rate = 2 * (100 - percent) / (100 + percent)
     share = 2.5 * rate * (1.5 if rate * SUBSETS_BELOW > 1 else 1) / 6
     buckets = max(8, int(size * share / passes / bucket) + 1)
-    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(1), "text").alias("text_more"), "text")
     described = scratch.write(numbered(rows).mapInArrow(_describe(words), DOCS), "described")
 
     def classed() -> DataFrame:
         return described.filter("n > 0").groupBy("cid").agg(
-            F.min("doc_id").alias("least"), F.min("cid2").alias("lo"), F.max("cid2").alias("hi"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
+            F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "text_more")).alias("one"), F.min("cid2").alias("lo"), F.max("cid2").alias("hi"), F.min("n").alias("n"), F.first("sketch").alias("sketch"),
         )
 
     classes = scratch.write(classed(), "classes")
@@ -289,30 +304,41 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
         scratch.release()
     members = spark.read.schema(MEMBERS).parquet(*[scratch.paths[n] for n in names])
     touched = members.select("cid").distinct()
-    meet = scratch.write(classes.join(touched, "cid", "left_semi").select("cid", "least", "n", "sketch"), "meet")
-    needed = meet.select(F.col("least").alias("need")).distinct()
-    # never broadcast: the ids grow with the documents, and texts move once at every size
-    texts = own.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("need")), "left_semi").select("text")
+    meet = scratch.write(classes.join(touched, "cid", "left_semi").select("cid", "least", "one", "n", "sketch"), "meet")
+    needed = meet.select(F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("t1"), F.col("one.text_more").alias("t2")).distinct()
+    # never broadcast: the ids grow with the documents, and the text of one member of each class moves once at every size
+    texts = own.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").join(
+        needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left_semi"
+    )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 us = [shingle_set(t or "", words) for t in batch.slice(at, 512).column(0).to_pylist()]
+                cols = [pa.array(c, pa.binary()) for c in zip(*map(_ranges, us))]
                 cid = pa.array([name_of(u, split) for u in us], pa.int64())
-                yield pa.RecordBatch.from_arrays([cid, pa.array([u.tobytes() for u in us], pa.binary())], names=["cid", "u"])
+                yield pa.RecordBatch.from_arrays([cid, *cols], names=["cid", *[f"u{k}" for k in range(RANGES)]])
 
-    kept = scratch.write(texts.mapInArrow(sets, "cid long, u binary"), "sets")
+    kept = scratch.write(texts.select("text").mapInArrow(sets, SETS), "sets")
+    scratch.release()
     left = meet.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = meet.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
-        full = pairs.join(kept.select(F.col("cid").alias("a"), F.col("u").alias("ua")), "a").join(
-            kept.select(F.col("cid").alias("b"), F.col("u").alias("ub")), "b"
-        )
-        found = scratch.write(full.select("a", "b", "ua", "ub").mapInArrow(_verify(percent), "a long, b long"), name)
-        scratch.drop(f"{name}-pairs")
-        scratch.release()
+        counts = []
+        for k in range(RANGES):
+            ua, ub = (kept.select(F.col("cid").alias(end), F.col(f"u{k}").alias(f"u{end}")) for end in "ab")
+            both = pairs.join(ua, "a").join(ub, "b").select("a", "b", "ua", "ub")
+            counts.append(scratch.write(both.mapInArrow(_common, COMMON), f"{name}-{k}").withColumn("range", F.lit(k)))
+            del ua, ub, both
+            scratch.release()
+        # repeated rows may have given a set twice: each range counts once
+        once = reduce(DataFrame.unionByName, counts).groupBy("a", "b", "range").agg(*[F.max(c).alias(c) for c in ("na", "nb", "inner")])
+        whole = once.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("na", "nb", "inner")])
+        alike = F.col("inner") * 100 >= (F.col("na") + F.col("nb") - F.col("inner")) * percent
+        found = scratch.write(whole.filter(alike).select("a", "b"), name)
+        scratch.drop(f"{name}-pairs", *[f"{name}-{k}" for k in range(RANGES)])
         return found
 
     def apart(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -323,6 +349,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
 
     def components(links: DataFrame) -> DataFrame:
         found = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+        if "components" in scratch.paths:  # of the links so far; all that read it is written
+            scratch.drop("components")
         return scratch.write(meet.select("cid", "n", "sketch").join(found, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "components")
 
     # every member against the first of its signatures: the first that looks nearest, then those of other components
