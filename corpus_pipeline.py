@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share this many percent of their distinct runs of so many words.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 #: Passes over the texts for the signatures of near duplicates, which are several times the text.
-NEAR_PASSES = 4
+NEAR_PASSES = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 
