@@ -68,6 +68,10 @@ def test_encode_like_library(spark, library):
         assert r.ids == want, repr(text[:80])
         assert r.decoded == library.decode(want, skip_special_tokens=False) == text
     assert own.encode(docs(spark, [])).count() == 0
+    at_once = own.encode_and_decode(clashing(docs(spark, texts)))
+    assert at_once.columns[-2:] == ["ids", "decoded"]
+    assert {r.doc_id: (r.ids, r.decoded) for r in at_once.collect()} == {r.doc_id: (r.ids, r.decoded) for r in out}
+    assert own.encode_and_decode(docs(spark, [])).count() == 0
 
 
 def test_one_accepted_sequence(library):
