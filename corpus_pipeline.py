@@ -22,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates share this many percent of their distinct runs of so many words.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 #: Passes over the texts for the signatures of near duplicates, which are several times the text.
-NEAR_PASSES = 2
+NEAR_PASSES = 3
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -65,7 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture, checked by decoding them again."""
     tokenizer = Tokenizer(public_tokenizers.path(VOCABULARY))
-    coded = tokenizer.decode(tokenizer.encode(pick(docs, "doc_id", "text", "source").withColumn("raw", F.col("text"))))
+    coded = tokenizer.encode_and_decode(pick(docs, "doc_id", "text", "source").withColumn("raw", F.col("text")))
     return coded.select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("raw", F.lit(""))).alias("lossless"),
