@@ -179,6 +179,8 @@ def _sign(words: int, percent: int, part: int, passes: int, buckets: int, split:
                     sig, cids, seen, held = [], [], set(), 0
         if sig:
             yield packed(sig, cids)
+        sig, cids, seen = [], [], set()
+        pa.default_memory_pool().release_unused()  # workers live on, and share their executor's memory
 
     return run
 
@@ -219,6 +221,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append((len(p), len(q), len(p) + len(q) - len(np.unique(np.concatenate((p, q))))))
         cols = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "na", "nb", "inner"])
+    pa.default_memory_pool().release_unused()
 
 
 def _compare(percent: int, nearest: bool):
@@ -318,6 +321,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
                 cols = [pa.array(c, pa.binary()) for c in zip(*map(_ranges, us))]
                 cid = pa.array([name_of(u, split) for u in us], pa.int64())
                 yield pa.RecordBatch.from_arrays([cid, *cols], names=["cid", *[f"u{k}" for k in range(RANGES)]])
+        pa.default_memory_pool().release_unused()
 
     kept = scratch.write(texts.select("text").mapInArrow(sets, SETS), "sets")
     scratch.release()
