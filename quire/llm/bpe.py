@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quire.llm.base import added, numbered, pick
+from quire.llm.base import added, give_back, numbered, pick
 
 #: Fixed value: the byte-level pre-split pattern; {L} letter, {N} number, {O} neither these nor white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
@@ -273,7 +273,7 @@ def _encoder(packed: bytes, names: list[str]):
     """(text, ...) -> (..., ids)."""
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier work in this worker has left
+        give_back()  # what earlier work in this worker has left
         own = _tokens(packed)
         for batch in texts:
             for at in range(0, batch.num_rows, 256):

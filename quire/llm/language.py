@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.base import added, numbered, pick
+from quire.llm.base import added, give_back, numbered, pick
 
 #: Number of features; a power of two.
 BITS = 12
@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 langs, scores = own.predict(texts) if own else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+        give_back()
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     names = [*rest, "lang_pred", "score"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.base import Scratch, numbered, pick
+from quire.llm.base import Scratch, give_back, numbered, pick
 from quire.llm.shingles import U, mix, shingle_set
 from quire.operators.graphs import connected_components
 
@@ -36,7 +36,7 @@ SKETCH = 1024
 #: Sets of SKETCH elements and more have so many times as many cells; eight, as a byte then folds to one cell.
 FINE = 8
 #: Signatures that one bucket of the exchange holds on average; members of a signature that are compared as one block.
-BUCKET, BLOCK = 1_000_000, 2048
+BUCKET, BLOCK = 500_000, 2048
 #: Passes over the text, each for one range of signatures: what is on disk at once is a fixed fraction of the text.
 PASSES = 2
 #: Ranges of elements; common elements are counted by one range at a time, so that only this share of the sets is moved at once.
@@ -138,6 +138,7 @@ def _describe(words: int):
                 made.append((len(u), class_of(u), class_of(u, 22), sketch(u)) if len(u) else (0, None, None, None))
             cols = [pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * 4, list(_DOC)[4:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], schema=_DOC)
+        give_back()
 
     return run
 
@@ -180,7 +181,7 @@ def _sign(words: int, percent: int, part: int, passes: int, buckets: int, split:
         if sig:
             yield packed(sig, cids)
         sig, cids, seen = [], [], set()
-        pa.default_memory_pool().release_unused()  # workers live on, and share their executor's memory
+        give_back()
 
     return run
 
@@ -203,6 +204,8 @@ def _shared(group: pa.Table) -> pa.Table:
     many = np.repeat(size, size) > 1
     sig, cid = pairs[many, 0].view(np.int64), pairs[many, 1].view(np.int64)
     first = np.repeat(pairs[head, 1].view(np.int64), size)[many]
+    del order, twice, pairs, fresh
+    give_back()
     return pa.table({"sig": sig, "cid": cid, "first": first, "members": np.repeat(size, size)[many].astype(np.int64)})
 
 
@@ -221,7 +224,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append((len(p), len(q), len(p) + len(q) - len(np.unique(np.concatenate((p, q))))))
         cols = [pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 3)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], names=["a", "b", "na", "nb", "inner"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _compare(percent: int, nearest: bool):
@@ -321,7 +324,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, percent: int = PER
                 cols = [pa.array(c, pa.binary()) for c in zip(*map(_ranges, us))]
                 cid = pa.array([name_of(u, split) for u in us], pa.int64())
                 yield pa.RecordBatch.from_arrays([cid, *cols], names=["cid", *[f"u{k}" for k in range(RANGES)]])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     kept = scratch.write(texts.select("text").mapInArrow(sets, SETS), "sets")
     scratch.release()
