@@ -1,10 +1,14 @@
 """Personal data: patterns for protected entities, and corpus statistics for terms that give them away.
 
-Entities (mail and IP addresses, card and phone numbers) are found by fixed patterns. A term near
-an entity discloses it to the degree that seeing the term makes the entity likely: with document
+Entities (mail and IP addresses, card and phone numbers) are found by fixed patterns. A term
+discloses an entity to the degree that seeing the term makes the entity likely: with document
 frequencies over the whole corpus, ``PMI(e, t) = ln(N * n(e, t) / (n(e) * n(t)))`` against the
 entity's own information ``IC(e) = ln(N / n(e))``. A term with ``PMI >= share * IC`` is replaced by
-its general form (number, code, name or word) if that form stays below the threshold, else removed.
+its general form (number, code, name or word) if that form stays below the threshold, else removed,
+wherever it stands and in every document, with the entity or without.
+
+Pairs are counted by document. As ``n(e, t) <= n(e)``, the threshold can only be reached where
+``n(t) <= n(e) * (N / n(e)) ** (1 - share)``: terms beyond that bound never meet their entities.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.base import Scratch, numbered, pick, whole
+from quire.llm.base import Scratch, give_back, numbered, pick, whole
 
 #: The kinds in their order, and the characters of their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,9 +34,8 @@ DIGITS = re.compile(r"[0-9](?:[0-9.\x20-]*[0-9])?")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A term is a word of three or more letters or digits, with the words nearest to an entity looked at.
+#: A term is a word of three or more letters or digits.
 TERM = r"[\p{L}\p{N}]{3,}"
-NEAR_WORDS, NEAR_CHARS = 8, 256
 TERMS = regex.compile(TERM)
 #: A pair counts from so many documents on; a term may tell so much of the entity's information.
 MIN_SUPPORT, SHARE = 3, 0.75
@@ -89,42 +92,64 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return out + ips + cards + phones
 
 
-def near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end): the terms among the nearest words on either side of each entity."""
-    out = []
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end): the terms of a text that touch none of its entities, in their order."""
     taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        value = text[a:b].lower() if kind < 2 else "".join(c for c in text[a:b] if c in "0123456789")
-        who = xxhash.xxh64_intdigest(f"{kind}:{value}") - 2**63
-        lo, hi = max(0, a - NEAR_CHARS), min(len(text), b + NEAR_CHARS)
-        before = [m.span() for m in TERMS.finditer(text, lo, a)]
-        after = [m.span() for m in TERMS.finditer(text, b, hi)]
-        # a word that the stretch cuts is none of the near words
-        before = [s for s in before if not (s[0] == lo > 0)][-NEAR_WORDS:]
-        after = [s for s in after if not (s[1] == hi < len(text))][:NEAR_WORDS]
-        for s, e in before + after:
-            if not any(x < e and s < y for x, y in taken if x < hi and y > lo):
-                out.append((who, text[s:e], s, e))
-    return out
+    at, done = 0, 0  # done: where the entities that begin before the term end
+    for m in TERMS.finditer(text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][0] < e:
+            done = max(done, taken[at][1])
+            at += 1
+        if s >= done:
+            yield m[0], s, e
 
 
-FOUND = "base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:long,term:string,start:int,end:int>>"
+def identity(text: str, kind: int, start: int, end: int) -> int:
+    """64 bits that stand for an entity, however it is written."""
+    value = text[start:end].lower() if kind < 2 else "".join(c for c in text[start:end] if c in "0123456789")
+    return xxhash.xxh64_intdigest(f"{kind}:{value}") - 2**63
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text, kept text or null) -> (row, doc_id, text, base, near)."""
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    close = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+MENTIONED = "who array<long>, words array<string>"
+BASE = "array<struct<kind:int,start:int,end:int>>"
+TOLD = "array<struct<start:int,end:int,form:string>>"
+
+
+def _mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (entities, terms) of the texts that hold entities, each once."""
     for batch in batches:
-        base, terms = [], []
-        for text in batch.column(2).to_pylist():
-            spans = entities(text or "")
-            base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-            terms.append([dict(zip(("entity", "term", "start", "end"), n)) for n in near(text or "", spans)] if spans else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(3), pa.array(base, span), pa.array(terms, close)],
-            names=["row", "doc_id", "text", "base", "near"],
-        )
+        for at in range(0, batch.num_rows, 256):
+            who, words = [], []
+            for text in batch.column(0).slice(at, 256).to_pylist():
+                spans = entities(text or "")
+                if spans:
+                    who.append(sorted({identity(text, *s) for s in spans}))
+                    words.append(sorted({w for w, _, _ in outside(text, spans)}))
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["who", "words"])
+    give_back()
+
+
+def _located(keep_text: bool):
+    """(text, doc_id, disclosing terms or null) -> (doc_id, text, base, terms)."""
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    told = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("form", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                base, terms = [], []
+                for text, hits in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                    spans = entities(text or "")
+                    base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
+                    forms = {h["term"]: h["form"] for h in hits or ()}
+                    terms.append([{"start": a, "end": b, "form": forms[w]} for w, a, b in outside(text, spans) if w in forms] if forms else [])
+                kept = part.column(0) if keep_text else pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(1), kept, pa.array(base, span), pa.array(terms, told)], names=["doc_id", "text", "base", "terms"])
+        give_back()
+
+    return run
 
 
 def form(term: Column) -> Column:
@@ -135,52 +160,67 @@ def form(term: Column) -> Column:
     return out
 
 
-def _keys(term: Column) -> tuple[Column, Column]:
-    return F.xxhash64(F.lower(term)), F.xxhash64(F.concat(F.lit("#"), form(term)))
+def _forms(words: Column) -> Column:
+    """Keys of the general forms that a list of terms has."""
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.concat(F.lit("#"), form(w)))))
 
 
-def find_disclosures(docs: DataFrame, *, keep_text: bool = False, min_support: int = MIN_SUPPORT, share: float = SHARE) -> DataFrame:
-    """(row, doc_id, text, base, terms) for every row of ``docs(doc_id, text)``.
+def disclosing_terms(docs: DataFrame, scratch: Scratch, min_support: int = MIN_SUPPORT, share: float = SHARE) -> DataFrame:
+    """(t, blocked): keys of the terms of ``docs(text)`` that disclose an entity, with the general forms that disclose it too."""
+    total = float(docs.count())
+    found = docs.select("text").mapInArrow(_mentioned, MENTIONED).select(F.monotonically_increasing_id().alias("id"), "who", "words")
+    found = scratch.write(found, "mentioned")
+    of_entity = found.select(F.explode("who").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_support)
+    bound = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - share)) * (1 + 1e-9)
+    of_entity = scratch.write(of_entity.withColumn("bound", bound), "entities")
+    ceiling = of_entity.agg(F.max("bound").alias("top")).first()["top"] or 0.0
 
-    ``base`` lists the entities, ``terms`` the disclosing terms near them as (start, end, form), the
-    form being null where the term is to be removed. ``text`` is null unless ``keep_text``.
-    A null text counts as empty; doc_ids are carried only, so null or repeated ones are no matter
-    (repeated rows count as documents of their own). An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pii")
-    own = pick(docs, "doc_id", "text")
-    given = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.col("text") if keep_text else F.lit(None).cast("string").alias("kept"))
-    schema = T.StructType([T.StructField("row", T.LongType()), own.schema["doc_id"], T.StructField("text", T.StringType()), *T._parse_datatype_string(FOUND).fields])
-    found = scratch.write(numbered(given).mapInArrow(_find, schema), "found")
-
-    # document frequencies: of entities, of (entity, term) pairs, of all terms of the corpus
-    of_entity = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    close = F.explode("near").alias("m")
-    mention = found.select("row", close).select("row", "m.*")
-    key, general = _keys(F.col("term"))
-    mention = mention.select("row", "entity", "start", "end", key.alias("t"), general.alias("g"), form(F.col("term")).alias("form"))
-    both = F.array_distinct(F.flatten(F.transform("near", lambda m: F.array(
-        F.struct(m["entity"].alias("entity"), _keys(m["term"])[0].alias("t")), F.struct(m["entity"].alias("entity"), _keys(m["term"])[1].alias("t"))))))
-    pairs = found.select(F.explode(both).alias("p")).groupBy("p.entity", "p.t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
-    pairs = scratch.write(pairs, "pairs")
+    # document frequencies of the terms and forms of the whole corpus, as far as any entity can be told by them
     words = F.regexp_extract_all(whole(), F.lit(TERM), 0)
     forms = F.array(*[F.when(whole().rlike(rule), F.xxhash64(F.lit(f"#{name}"))) for name, rule in HOLDS.items()])
-    terms = own.select(F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.xxhash64(F.lower(w))), forms))).alias("t"))
-    of_term = terms.filter("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n_t"))
-    total = found.agg(F.count("*").alias("n")).first()["n"]
-    # what the pair tells against what the entity holds
-    known = pairs.join(of_entity, "entity").join(of_term, "t", "left").withColumn(
-        "told", F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest(F.coalesce("n_t", "n_et"), "n_et")))
-    )
-    disclosing = scratch.write(known.filter(F.col("told") >= share * F.log(F.lit(float(total)) / F.col("n_e"))).select("entity", "t"), "disclosing")
-    hit = mention.join(disclosing, ["entity", "t"]).join(
-        disclosing.select("entity", F.col("t").alias("g"), F.lit(True).alias("open")), ["entity", "g"], "left"
-    )
-    hits = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.when(F.col("open").isNull(), F.col("form")).alias("form")))).alias("terms"))
-    return found.join(hits, "row", "left").select(
-        "row", "doc_id", "text", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,form:string>>")).alias("terms")
+    terms = docs.select(F.explode(F.array_distinct(F.concat(F.transform(words, lambda w: F.xxhash64(F.lower(w))), forms))).alias("t"))
+    of_term = terms.filter("t IS NOT NULL").groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t").between(min_support, ceiling))
+
+    # a document's entities meet those of its terms that are rare enough to tell of them
+    own = scratch.write(found.select("id", F.explode("who").alias("entity")).join(of_entity, "entity"), "own-entities")
+    keys = F.array_distinct(F.concat(F.transform("words", lambda w: F.xxhash64(F.lower(w))), _forms(F.col("words"))))
+    held = found.join(own.select("id").distinct(), "id", "left_semi").select("id", F.explode(keys).alias("t")).join(of_term, "t")
+    pairs = held.join(own, "id").filter(F.col("n_t") <= F.col("bound")).groupBy("entity", "t").agg(
+        F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")
     )
+    known = F.log(F.lit(total) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    told = pairs.filter((F.col("n_et") >= min_support) & (known >= share * F.log(F.lit(total) / F.col("n_e")) - 1e-12))
+    named = F.lit(None).cast("string")
+    for name, _ in FORMS:
+        named = F.when(F.col("t") == F.xxhash64(F.lit(f"#{name}")), F.lit(name)).otherwise(named)
+    told = scratch.write(told.select("entity", "t", named.alias("form")), "told")
+    open_ = told.filter("form IS NOT NULL").select("entity", F.col("form").alias("blocked"))
+    return scratch.write(told.filter("form IS NULL").select("entity", "t").join(open_, "entity", "left").groupBy("t").agg(F.collect_set("blocked").alias("blocked")), "disclosing")
+
+
+def find_disclosures(docs: DataFrame, *, keep_text: bool = False, min_support: int = MIN_SUPPORT, share: float = SHARE) -> DataFrame:
+    """(doc_id, text, base, terms) for every row of ``docs(doc_id, text)``.
+
+    ``base`` lists the entities, ``terms`` every place of a disclosing term outside entities as
+    (start, end, form), the form being null where the term is to be removed. ``text`` is null
+    unless ``keep_text``. A pair of entity and term is evidence from ``min_support`` documents on.
+
+    A null or empty text has none of both; doc_ids are carried only, so null or repeated ones are no
+    matter (repeated rows count as documents of their own). Texts of any length are read whole. Ties
+    with the threshold disclose. An empty table gives no rows, and other columns are not looked at.
+    """
+    scratch = Scratch(docs.sparkSession, "pii")
+    own = pick(docs, "doc_id", "text")
+    disclosing = disclosing_terms(own, scratch, min_support, share)
+    marks = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    # a text is known by two hashes, so copies share their terms; texts move only where these are too many to broadcast
+    used = own.select(*marks, F.explode(F.array_distinct(F.regexp_extract_all(whole(), F.lit(TERM), 0))).alias("term"))
+    used = used.withColumn("t", F.xxhash64(F.lower("term"))).join(disclosing, "t")
+    used = used.select("h1", "h2", "term", F.when(~F.array_contains("blocked", form(F.col("term"))), form(F.col("term"))).alias("form"))
+    hits = scratch.write(used.groupBy("h1", "h2").agg(F.collect_set(F.struct("term", "form")).alias("hits")), "hits")
+    rows = own.select("text", "doc_id", *marks).join(hits, ["h1", "h2"], "left").select("text", "doc_id", "hits")
+    schema = T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType()), *T._parse_datatype_string(f"base {BASE}, terms {TOLD}").fields])
+    return numbered(rows).mapInArrow(_located(keep_text), schema)
 
 
 def sanitised(docs: DataFrame, **settings) -> DataFrame:
