@@ -213,12 +213,12 @@ def find_disclosures(docs: DataFrame, *, keep_text: bool = False, min_support: i
     own = pick(docs, "doc_id", "text")
     disclosing = disclosing_terms(own, scratch, min_support, share)
     marks = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
-    # a text is known by two hashes, so copies share their terms; texts move only where these are too many to broadcast
+    # a text is known by two hashes, so copies share their terms; never broadcast, as the terms grow with the documents: texts move once at every size
     used = own.select(*marks, F.explode(F.array_distinct(F.regexp_extract_all(whole(), F.lit(TERM), 0))).alias("term"))
     used = used.withColumn("t", F.xxhash64(F.lower("term"))).join(disclosing, "t")
     used = used.select("h1", "h2", "term", F.when(~F.array_contains("blocked", form(F.col("term"))), form(F.col("term"))).alias("form"))
     hits = scratch.write(used.groupBy("h1", "h2").agg(F.collect_set(F.struct("term", "form")).alias("hits")), "hits")
-    rows = own.select("text", "doc_id", *marks).join(hits, ["h1", "h2"], "left").select("text", "doc_id", "hits")
+    rows = own.select("text", "doc_id", *marks).join(hits.hint("merge"), ["h1", "h2"], "left").select("text", "doc_id", "hits")
     schema = T.StructType([own.schema["doc_id"], T.StructField("text", T.StringType()), *T._parse_datatype_string(f"base {BASE}, terms {TOLD}").fields])
     return numbered(rows).mapInArrow(_located(keep_text), schema)
 
