@@ -65,10 +65,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mixture, checked by decoding them again."""
     tokenizer = Tokenizer(public_tokenizers.path(VOCABULARY))
-    coded = tokenizer.encode_and_decode(pick(docs, "doc_id", "text", "source").withColumn("raw", F.col("text")))
+    coded = tokenizer.encode_and_decode(pick(docs, "doc_id", "text", "source"), keep_text=True)
     return coded.select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("raw", F.lit(""))).alias("lossless"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
 
 

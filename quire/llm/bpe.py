@@ -32,10 +32,11 @@ from quire.llm.base import added, give_back, numbered, pick
 
 #: Fixed value: the byte-level pre-split pattern; {L} letter, {N} number, {O} neither these nor white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|\s+(?!\S)|\s+"
-#: A worker's tables of words and arcs are emptied when they reach these sizes.
-MAX_WORDS, MAX_ARCS = 400_000, 400_000
+#: A worker's tables of words and arcs hold so many at most. A full table of words takes no more, as frequent words
+#: come first, but is emptied after twice as many unknown ones; a full table of arcs is emptied at once.
+MAX_WORDS, MAX_ARCS = 160_000, 160_000
 START = -1
-#: Where a node of the byte trie keeps its token.
+#: Where a node of the byte trie that goes on keeps its token.
 TOKEN = -1
 
 
@@ -69,20 +70,26 @@ class Automaton:
                 live.add(ab)
         self.live = sorted(live)
         self.longest = max(self.size)
-        self.root: dict[int, dict] = {}
+        self.root: dict[int, dict | int] = {}
 
-    def trie(self) -> dict[int, dict]:
-        """The byte trie of all live tokens: nested tables by byte, the token itself under TOKEN.
+    def trie(self) -> dict[int, dict | int]:
+        """The byte trie of all live tokens: nested tables by byte, the token itself under TOKEN or, where nothing goes on, alone.
 
         Made when a word is first encoded; decoding does without.
         """
         if self.root:
             return self.root
         for t in self.live:
-            node = self.root
-            for byte in self.labels[t]:
-                node = node.setdefault(byte, {})
-            node[TOKEN] = t
+            node, label = self.root, self.labels[t]
+            for byte in label[:-1]:
+                on = node.get(byte)
+                if not isinstance(on, dict):
+                    on = node[byte] = {} if on is None else {TOKEN: on}
+                node = on
+            if isinstance(on := node.get(label[-1]), dict):
+                on[TOKEN] = t
+            else:
+                node[label[-1]] = t
         return self.root
 
     def __getstate__(self) -> dict:
@@ -116,8 +123,6 @@ class Automaton:
         leads nowhere is never tried twice and the search is linear in the word.
         """
         n, arcs, root = len(word), self.arcs, self.root or self.trie()
-        if len(arcs) > MAX_ARCS:
-            arcs.clear()
         path: list[int] = []
         ends: list[int] = []
         tries: list[list[int]] = []  # at each place of the path: tokens left to try, longest last
@@ -129,6 +134,9 @@ class Automaton:
                 node = node.get(byte)
                 if node is None:
                     break
+                if node.__class__ is int:
+                    found.append(node)
+                    break
                 x = node.get(TOKEN)
                 if x is not None:
                     found.append(x)
@@ -138,6 +146,8 @@ class Automaton:
                     if p >= 0:
                         ok = arcs.get(p << 32 | x)
                         if ok is None:
+                            if len(arcs) >= MAX_ARCS:
+                                arcs.clear()
                             ok = arcs[p << 32 | x] = self._arc(p, x)
                         if not ok:
                             continue
@@ -222,8 +232,6 @@ class Tokens:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as packed 32-bit numbers."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
         if not self.marks or not any(m in text for m in self.automaton.special):
             return self._words(text)
         out = []
@@ -247,16 +255,29 @@ def _latin(text: str) -> bool:
 
 
 class _Words(dict):
+    """The ids of words met before."""
+
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.missed = automaton, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = array("i", self.automaton.encode(word.encode())).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
+        if len(self) < MAX_WORDS:
+            if len(word) <= 64:
+                self[word] = ids
+        else:
+            self.missed += 1
+            if self.missed >= 2 * MAX_WORDS:
+                self.clear()
+                self.missed = 0
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.missed = 0
+        self.automaton.arcs.clear()
+
 
 _LOADED: dict[int, Tokens] = {}
 
@@ -269,8 +290,8 @@ def _tokens(packed: bytes) -> Tokens:
     return _LOADED[key]
 
 
-def _encoder(packed: bytes, names: list[str]):
-    """(text, ...) -> (..., ids)."""
+def _encoder(packed: bytes, names: list[str], keep_text: bool = False):
+    """(text, ...) -> (..., ids), the text before them if it is kept."""
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # what earlier work in this worker has left
@@ -281,8 +302,8 @@ def _encoder(packed: bytes, names: list[str]):
                 coded = [own.encode(t or "") for t in part.column(0).to_pylist()]
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(ends, flat)], names=names)
-        own.words.clear()  # a worker that goes on with other work does not keep them
+                yield pa.RecordBatch.from_arrays([*part.columns[0 if keep_text else 1 :], pa.ListArray.from_arrays(ends, flat)], names=names)
+        own.words.forget()  # a worker that goes on with other work does not keep them
 
     return run
 
@@ -333,14 +354,20 @@ class Tokenizer:
         schema = added(coded, [ids, *rest], T.StructField(text, T.StringType()))
         return numbered(pick(coded, ids, *rest)).mapInArrow(_decoder(self.packed, [ids, *rest, text]), schema)
 
-    def encode_and_decode(self, docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-        """``decode(encode(docs))`` in one Python worker instead of two for each task: half the tables in memory."""
+    def encode_and_decode(
+        self, docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = False
+    ) -> DataFrame:
+        """``decode(encode(docs))`` in one Python worker instead of two for each task: half the tables in memory.
+
+        With ``keep_text`` the text stays as a column, without a second copy of it on the way to the worker.
+        """
         rest = [c for c in docs.columns if c not in (text, ids, decoded)]
-        schema = added(docs, rest, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType()))
-        there, back = _encoder(self.packed, [*rest, ids]), _decoder(self.packed, [ids, *rest, decoded])
+        kept = [text, *rest] if keep_text else rest
+        schema = added(docs, kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType()))
+        there, back = _encoder(self.packed, [*kept, ids], keep_text), _decoder(self.packed, [ids, *kept, decoded])
 
         def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in back(coded.select([ids, *rest]) for coded in there(texts)):
-                yield batch.select([*rest, ids, decoded])
+            for batch in back(coded.select([ids, *kept]) for coded in there(texts)):
+                yield batch.select([*kept, ids, decoded])
 
         return numbered(pick(docs, text, *rest)).mapInArrow(run, schema)

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from helpers import clashing, docs
 from tokenizers import Tokenizer as Library
 
+from quire.llm import bpe
 from quire.llm.bpe import Automaton, Tokenizer, compile_vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,3 +89,15 @@ def test_one_accepted_sequence(library):
 def test_decode_odd_ids(spark):
     table = spark.createDataFrame([(1, None), (2, []), (3, [50256, 99999, -1, None, 64])], "k long, ids array<int>")
     assert {r.k: r.decoded for r in Tokenizer(PATH).decode(table).collect()} == {1: "", 2: "", 3: "<|endoftext|>a"}
+
+
+def test_tables_of_a_worker_stay_small(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 300)
+    monkeypatch.setattr(bpe, "MAX_ARCS", 200)
+    own, rng = bpe.Tokens(compile_vocabulary(PATH), ""), random.Random(7)
+    for _ in range(4):  # the second bound is met inside a text
+        text = " ".join("".join(rng.choices("aeinrstthou", k=rng.randint(2, 9))) for _ in range(1500)) + " the and"
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.words) <= 300 and len(own.automaton.arcs) <= 200
+    own.words.forget()
+    assert not own.words and not own.automaton.arcs

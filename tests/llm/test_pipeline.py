@@ -94,3 +94,11 @@ def test_mix_keeps_repeated_rows_apart(spark):
     rows = [(1, "one two three", "en", "a", 5)] * 3 + [(1, "one two three", "de", "a", 6), (None, "x y", None, "a", None), (None, "x y", None, "a", None)]
     got = cp.source_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_texts_reach_the_tokeniser_once(spark):
+    """A second copy of the texts, to compare with, took as much memory again on both sides."""
+    plan = cp.tokenise(spark, docs(spark, ["a b", None, ""]), "")
+    sent = plan._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1].splitlines()[1]
+    assert sent.count(" AS ") == 3
+    assert {r.doc_id: (r.n_tokens, r.lossless) for r in plan.collect()} == {0: (2, True), 1: (0, True), 2: (0, True)}
