@@ -215,6 +215,34 @@ def test_rescue_against_sequential(spark):
     assert {r.edge_id: r.kept_as for r in got.collect()} == _rescue_in_order(judged, nodes, extracted)
 
 
+def test_rescue_makes_its_inputs_once(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType
+
+    made = {"nodes": spark.sparkContext.accumulator(0), "extracted": spark.sparkContext.accumulator(0)}
+
+    def seen(name, column):
+        count = made[name]
+
+        def same(x):
+            count.add(1)
+            return x
+
+        return F.udf(same, StringType())(column)
+
+    nodes = spark.createDataFrame([(f"n{i}", "text" if i % 2 else "visual") for i in range(6)], "entity_id string, modality string")
+    nodes = nodes.withColumn("entity_id", seen("nodes", "entity_id"))
+    extracted = spark.createDataFrame([("x0", "n0", "n1"), ("x1", "n2", "n3")], "edge_id string, src_id string, tgt_id string")
+    extracted = extracted.withColumn("src_id", seen("extracted", "src_id"))
+    judged = spark.createDataFrame(
+        [("e0", "n4", "n5", "r", "semantic", 0.9, 0), ("e1", "n1", "n2", "r", "semantic", 0.7, 1), ("e2", "n0", "n3", "r", "semantic", 0.8, 2)],
+        "edge_id string, src_id string, tgt_id string, relation string, edge_type string, confidence double, seq int",
+    )
+    got = align.rescue(judged, nodes, extracted)
+    assert {r.edge_id: r.kept_as for r in got.collect()} == {"e0": "strong", "e2": "bridge"}
+    assert {k: v.value for k, v in made.items()} == {"nodes": 6, "extracted": 2}
+
+
 def test_near_duplicates_against_greedy(spark):
     rnd = random.Random(2)
     words = "part whole linked makes using river".split()
