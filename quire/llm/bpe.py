@@ -290,11 +290,32 @@ def _tokens(packed: bytes) -> Tokens:
     return _LOADED[key]
 
 
+def _forget() -> None:
+    """Drop this worker's tables. A function of the module, as one made in a call would travel with its own ``_LOADED``."""
+    _LOADED.clear()
+    give_back()
+
+
+def _cleared(run):
+    """The task ``run``; when it has ended, its worker drops the tables and returns the memory.
+
+    Idle workers live on beside those that later tasks get, and share their executor's memory.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier work in this worker has left
+        try:
+            yield from run(batches)
+        finally:
+            _forget()
+
+    return task
+
+
 def _encoder(packed: bytes, names: list[str], keep_text: bool = False):
     """(text, ...) -> (..., ids), the text before them if it is kept."""
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what earlier work in this worker has left
         own = _tokens(packed)
         for batch in texts:
             for at in range(0, batch.num_rows, 256):
@@ -303,7 +324,6 @@ def _encoder(packed: bytes, names: list[str], keep_text: bool = False):
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[0 if keep_text else 1 :], pa.ListArray.from_arrays(ends, flat)], names=names)
-        own.words.forget()  # a worker that goes on with other work does not keep them
 
     return run
 
@@ -346,13 +366,13 @@ class Tokenizer:
         """
         rest = [c for c in docs.columns if c not in (text, ids)]
         schema = added(docs, rest, T.StructField(ids, T.ArrayType(T.IntegerType())))
-        return numbered(pick(docs, text, *rest)).mapInArrow(_encoder(self.packed, [*rest, ids]), schema)
+        return numbered(pick(docs, text, *rest)).mapInArrow(_cleared(_encoder(self.packed, [*rest, ids])), schema)
 
     def decode(self, coded: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """Arrays of ids to texts; null counts as no ids, ids outside the vocabulary give nothing."""
         rest = [c for c in coded.columns if c not in (text, ids)]
         schema = added(coded, [ids, *rest], T.StructField(text, T.StringType()))
-        return numbered(pick(coded, ids, *rest)).mapInArrow(_decoder(self.packed, [ids, *rest, text]), schema)
+        return numbered(pick(coded, ids, *rest)).mapInArrow(_cleared(_decoder(self.packed, [ids, *rest, text])), schema)
 
     def encode_and_decode(
         self, docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = False
@@ -370,4 +390,4 @@ class Tokenizer:
             for batch in back(coded.select([ids, *kept]) for coded in there(texts)):
                 yield batch.select([*kept, ids, decoded])
 
-        return numbered(pick(docs, text, *rest)).mapInArrow(run, schema)
+        return numbered(pick(docs, text, *rest)).mapInArrow(_cleared(run), schema)

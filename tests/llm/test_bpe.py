@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import clashing, docs
 from tokenizers import Tokenizer as Library
@@ -101,3 +102,21 @@ def test_tables_of_a_worker_stay_small(library, monkeypatch):
         assert len(own.words) <= 300 and len(own.automaton.arcs) <= 200
     own.words.forget()
     assert not own.words and not own.automaton.arcs
+
+
+def test_tasks_leave_nothing_in_their_worker(spark, monkeypatch):
+    """Workers live on: a task drops its tables, and only then returns the memory."""
+    tasks, left = [], []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, task, schema: tasks.append(task) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(bpe, "give_back", lambda: left.append(len(bpe._LOADED)))
+    tokenizer, texts = Tokenizer(PATH), docs(spark, ["x"]).select("text")
+    tokenizer.decode(tokenizer.encode(texts))
+    tokenizer.encode_and_decode(texts)
+    encode, decode, both = tasks
+    words = [pa.RecordBatch.from_arrays([pa.array(["some words", None])], names=["text"])]
+    coded = list(encode(iter(words)))
+    assert left[-1] == len(bpe._LOADED) == 0 and len(left) == 2
+    assert list(decode(iter(coded)))[0].column(1).to_pylist() == ["some words", ""]
+    assert left[-1] == len(bpe._LOADED) == 0 and len(left) == 4
+    assert list(both(iter(words)))[0].column(1).to_pylist() == ["some words", ""]
+    assert left[-1] == len(bpe._LOADED) == 0 and len(left) == 6
